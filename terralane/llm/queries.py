@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import bpe, exact_dedup
+
+
+def word_bpe() -> str:
+    """The tokenizer file of the queries; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +22,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir))
 
 
-QUERIES = {"op2_exact_dedup": op2_exact_dedup}
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_docs(spark, sf_dir), word_bpe())
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
