@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup
+from . import bpe, exact_dedup, fingerprints
 
 
 def word_bpe() -> str:
@@ -26,5 +26,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_docs(spark, sf_dir), word_bpe())
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_docs(spark, sf_dir))
+
+
+QUERIES = {"op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
