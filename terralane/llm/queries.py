@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints
+from . import bpe, exact_dedup, fingerprints, line_dedup, mixing
 
 
 def word_bpe() -> str:
@@ -30,5 +30,13 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_docs(spark, sf_dir))
 
 
-QUERIES = {"op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_docs(spark, sf_dir))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_docs(spark, sf_dir))
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
+ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
