@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..plans.scratch import shared_dir, stored  # noqa: F401
 
 #: A word is a run without ASCII white space; bytes.split() cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,23 +12,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_PARTS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later steps neither recompute it nor depend on one executor."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
     """A number for each row. It repeats from scan to scan for the tables these operators take (file scans, local rows)."""
     return docs.withColumn(name, F.monotonically_increasing_id())
