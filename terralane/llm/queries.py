@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, token_counts, token_files
+from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, substring_dedup, token_counts, token_files
 
 
 def word_bpe() -> str:
@@ -53,5 +53,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_docs(spark, sf_dir), width=4, share="0.85")
 
 
-QUERIES = {"op9_jaccard_join": op9_jaccard_join, "op3_token_files": op3_token_files, "op7_token_counts": op7_token_counts, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_docs(spark, sf_dir).select("doc_id", "text"), digests=True)
+
+
+QUERIES = {"op6_substring_dedup": op6_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op3_token_files": op3_token_files, "op7_token_counts": op7_token_counts, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
