@@ -1,3 +1,3 @@
 """Queries over the provided tables, one module for each part of the library."""
 
-from . import labels, manifest  # noqa: F401
+from . import graph, labels, manifest  # noqa: F401
