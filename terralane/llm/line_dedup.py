@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import hashlib
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import lookup, stored, with_row_id
 
@@ -12,6 +15,9 @@ MIN_SITES = 10
 LG_K = 11
 #: Lines whose estimate lies within this share of the limit are counted exactly: over 5 standard errors.
 MARGIN = 0.15
+#: So many boilerplate lines at most are sent to every task; more of them are joined instead.
+SENT_LINES = 100_000
+SPACES = b" \t\n\x0b\x0c\r"
 
 
 def line_key(line):
@@ -48,6 +54,8 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     lines = rows.select("__row", F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.where(trimmed(F.col("line")) != "").select("__row", "site", "pos", line_key(F.col("line")).alias("line_key"))
     bad = stored(boilerplate_lines(lines.select("line_key", "site"), min_sites), "boilerplate")
+    if bad.count() <= SENT_LINES:
+        return without(rows, {bytes(r["line_key"]) for r in bad.select("line_key").collect()})
     # only lines that are removed come back to their documents
     uses = bad.agg(F.sum("uses").alias("n")).first()["n"] or 0
     gone = lookup(lines.select("__row", "pos", "line_key"), bad, "line_key", "uses", uses)
@@ -56,17 +64,43 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     parts = F.split("text", "\n")
     stay = F.filter(parts, lambda _, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    cols = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    cols = [text.alias("text") if c == "text" else F.length(text).cast(rows.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in rows.columns if c != "__row"]
     return out.select(*cols, F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
+def without(rows: DataFrame, bad: set[bytes]) -> DataFrame:
+    """The rows without the lines whose keys are in `bad`, by one pass over the texts."""
+    kept = [c for c in rows.columns if c != "__row"]
+    at, size = kept.index("text"), kept.index("n_chars") if "n_chars" in kept else None
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    shared = rows.sparkSession.sparkContext.broadcast(bad)
+
+    def run(batches):
+        bad = shared.value
+        for batch in batches:
+            texts, n, gone = [], [], []
+            for t in batch.column(at).to_pylist():
+                lines = t.split("\n") if t is not None else []
+                stay = [x for x in lines if not (y := x.encode().strip(SPACES)) or hashlib.sha256(y).digest()[:16] not in bad]
+                texts.append(None if t is None else "\n".join(stay))
+                n.append(len(lines))
+                gone.append(len(lines) - len(stay))
+            columns = list(batch.columns)
+            columns[at] = pa.array(texts, columns[at].type)
+            if size is not None:
+                columns[size] = pa.array([None if t is None else len(t) for t in texts], columns[size].type)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*kept, "n_lines", "n_removed"])
+
+    return rows.select(*kept).mapInArrow(run, schema)
+
+
 ORACLE_SQL = """
 WITH r AS (SELECT row_number() OVER () AS r, * FROM documents),
 l AS (SELECT r, coalesce(source, '') AS site, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM r),
 k AS (SELECT *, regexp_replace(regexp_replace(line, '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', '') AS key FROM l),
 b AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT site) >= 10),
 g AS (SELECT r, count(*) AS n_lines, count(b.key) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (b.key IS NULL), '') AS kept FROM k LEFT JOIN b USING (key) GROUP BY r)
-SELECT doc_id, CASE WHEN text IS NOT NULL THEN kept END AS text, lang, source, CASE WHEN text IS NOT NULL THEN length(kept) END AS n_chars,
-       coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN length(kept) END AS n_chars, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
 FROM r LEFT JOIN g USING (r)
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, substring_dedup, token_counts, token_files, toxicity
 
@@ -35,7 +35,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(_docs(spark, sf_dir))
+    kept = line_dedup.line_dedup(_docs(spark, sf_dir))
+    return kept.select("doc_id", "n_chars", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

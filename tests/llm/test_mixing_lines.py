@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 
+import pytest
 from fixtures import hard_rows, table
 
 from terralane.llm import line_dedup, mixing
@@ -56,7 +57,9 @@ def test_mix_hard_rows(spark):
     assert mixing.mix(table(spark, [])).collect() == []
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("sent", [line_dedup.SENT_LINES, 0])
+def test_line_dedup(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT_LINES", sent)
     rows = [(i, f"own {i}\n  boiler plate \nend {i % 7}\n", "en", f"s{i % 12}", 0) for i in range(60)]
     rows += [(100, None, "en", "s1", None), (101, "", "en", None, 0), (102, "boiler plate", "en", None, 0), (103, "a\n\n\nboiler plate\n\tb\r", "en", "x", 0)]
     rows += [(104, "\n".join(f"line {k}" for k in range(3000)), "en", "s1", 0), (104, "\n".join(f"line {k}" for k in range(3000)), "en", "s1", 0)]
