@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-#: Pieces kept in a worker's cache; beyond it the cache starts anew.
-CACHE_PIECES = 1_000_000
+#: Pieces kept in a worker's cache. Beyond it the older half stays: frequent pieces are met first.
+CACHE_PIECES = 1_200_000
 #: A longer piece is encoded each time.
 CACHE_BYTES = 64
-#: The tokenizer file's own pattern on lower-case ASCII text (fixed value).
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
+
+def _latin(kind: str) -> str:
+    """The characters below U+0250 of a Unicode category, escaped for a character class."""
+    return "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c)).startswith(kind))
+
+
+#: The tokenizer file's own pattern (fixed value), with the letters and numbers below U+0250 written out.
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[^{_latin('L')}{_latin('N')}]+")
+#: Pieces that normalisation only lower-cases, letter by letter: no white space, no combining marks, no dotted capital I.
+PLAIN = re.compile("[^\x85\xa0\u0130\u0250-\U0010ffff]*")
 WORD_END = "</w>"
 
 
@@ -21,7 +32,7 @@ class PieceEncoder:
     """Ids (little-endian unsigned 32-bit) of pieces between ASCII white space.
 
     White space ends every token of this tokenizer and takes no part in normalisation, so the ids of a text are those
-    of its pieces in order. An ASCII piece is lower-cased and cut here; other pieces go through the library's
+    of its pieces in order. Pieces of Latin letters are lower-cased and cut here; others go through the library's
     normaliser and pre-tokenizer. The library's BPE then encodes all new words at once.
     """
 
@@ -40,22 +51,26 @@ class PieceEncoder:
         names = [self.full.id_to_token(i) for i in range(size)]
         self.tokens = [x.encode() for x in names]
         self.ends = np.array([x.endswith(WORD_END) for x in names])
+        # the names that the byte-level vocabulary gives to bytes: printable ones their own, the others those from U+0100 on
+        own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_names = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
         self.cache: dict[bytes, bytes] = {}
 
     def words(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece, or None where only the whole library gives them."""
         if any(s in piece for s in self.special):
             return None
-        if piece.isascii():
-            return ASCII_WORDS.findall(piece.lower())
+        if PLAIN.fullmatch(piece):
+            found = WORDS.findall(piece.lower())
+            return found if piece.isascii() else [w.encode().decode("latin-1").translate(self.byte_names) for w in found]
         return [w for w, _ in self.full.pre_tokenizer.pre_tokenize_str(self.full.normalizer.normalize_str(piece))]
 
     def learn(self, pieces: set[bytes]) -> None:
         """Put the ids of all the pieces into the cache."""
         new = [p for p in pieces if p not in self.cache]
         if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache.clear()
-            new = list(pieces)
+            self.cache = dict(itertools.islice(self.cache.items(), CACHE_PIECES // 2))
+            new = [p for p in pieces if p not in self.cache]
         cut = [self.words(p.decode()) for p in new]
         flat = [w for ws in cut if ws for w in ws]
         lines = [" ".join(flat[i : i + 256]) for i in range(0, len(flat), 256)]
