@@ -1,3 +1,3 @@
 """Queries over the provided tables, one module for each part of the library."""
 
-from . import features, geom, graph, labels, manifest  # noqa: F401
+from . import annotations, evaluate, features, geom, graph, labels, manifest  # noqa: F401
