@@ -42,7 +42,7 @@ def _(t):
     return land(t).select("x", "y", op.road_target(F.col("label")).alias("t")).select("x", "y", "t.road", "t.valid")
 
 
-@query("c5_resample_nearest", f"WITH {LAND}, q AS (SELECT tx.i AS x, ty.i AS y FROM range(0, 48) tx(i), range(0, 48) ty(i)) SELECT 0 AS scene_id, q.x, q.y, label FROM q JOIN land l ON l.x = floor(q.x * 64 / 48) AND l.y = floor(q.y * 64 / 48)")
+@query("c5_resample_nearest", f"WITH {LAND}, q AS (SELECT tx.i AS x, ty.i AS y FROM range(0, 48) tx(i), range(0, 48) ty(i)) SELECT 0 AS scene_id, q.x, q.y, label FROM q JOIN land l ON l.x = floor(q.x * (SELECT max(x) + 1 FROM cells) / 48) AND l.y = floor(q.y * (SELECT max(y) + 1 FROM cells) / 48)")
 def _(t):
     one = land(t).withColumn("scene_id", F.lit(0))
     sizes = one.groupBy("scene_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
@@ -180,7 +180,7 @@ def _(t):
     return rounded(op.prob_delta(a, a.withColumn("value", F.least(F.col("value") * 1.1, F.lit(1.0))), ["g", "x", "y"], by=["g"]))
 
 
-@query("c26_top_windows", f"""WITH {CELLS}, o AS (SELECT i * 8 AS w FROM range(0, 7) r(i)), a AS (SELECT 0 AS scene_id, ox.w AS wx, oy.w AS wy, avg(value) AS mean FROM cells, o ox, o oy WHERE x BETWEEN ox.w AND ox.w + 15 AND y BETWEEN oy.w AND oy.w + 15 GROUP BY 1, 2, 3),
+@query("c26_top_windows", f"""WITH {CELLS}, o AS (SELECT i * 8 AS w FROM range(0, 7) r(i)), a AS (SELECT 0 AS scene_id, ox.w AS wx, oy.w AS wy, avg(value) AS mean FROM cells, o ox, o oy WHERE x BETWEEN ox.w AND ox.w + 15 AND y BETWEEN oy.w AND oy.w + 15 AND ox.w + 15 <= (SELECT max(x) FROM cells) AND oy.w + 15 <= (SELECT max(y) FROM cells) GROUP BY 1, 2, 3),
 r AS (SELECT *, row_number() OVER (ORDER BY round(mean, 12) DESC, wy, wx) AS rank FROM a) SELECT scene_id, rank, wx, wy, round(mean, 6) AS mean FROM r WHERE rank <= 3""")
 def _(t):
     return rounded(op.top_windows(cells(t).withColumn("scene_id", F.lit(0)), 16, 8, 3))
