@@ -18,7 +18,7 @@ WINDOW = 35
 #: log2 of the most bits of the filter that tells the next level which windows repeat: 32 MB whatever the input.
 FILTER_BITS = 28
 #: Windows that a task compares among themselves before it sends them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 def sliding(v: np.ndarray, reach: int, least=np.minimum) -> np.ndarray:
@@ -30,48 +30,62 @@ def sliding(v: np.ndarray, reach: int, least=np.minimum) -> np.ndarray:
     return least(v[: len(v) - rest], v[rest:]) if rest else v
 
 
-def anchors(v: np.ndarray, reach: int) -> np.ndarray:
-    """Places of values that are the least of some run of `reach` values.
+class Words:
+    """The word hashes of several documents in a row, with each word's document, its first word and its end."""
 
-    Runs with equal contents have them at the same places, so at the first level these windows stand for all others.
-    """
-    if len(v) < reach:
-        return np.empty(0, np.int64)
-    low = sliding(v, reach)
-    zeros = np.zeros(reach - 1, U)
-    return np.flatnonzero(sliding(np.concatenate([zeros, low, zeros]), reach, np.maximum) == v)
+    def __init__(self, rows: list[int], texts: list[bytes]):
+        words = [t.split() for t in texts]
+        n = np.array([len(w) for w in words], np.int64)
+        self.h = word_hashes([x for w in words for x in w])
+        first = np.cumsum(n) - n
+        self.row = np.repeat(np.array(rows, np.int64), n)
+        self.start, self.end = np.repeat(first, n), np.repeat(first + n, n)
 
 
 class Levels:
-    """Which windows of a text are still candidates at each length: first, twice first, width."""
+    """Which windows are still candidates at each length: first, then twice as long, then `width` words."""
 
     def __init__(self, width: int):
         self.width = width
         self.second = max(1, -(-width // 2))
         self.first = max(1, -(-self.second // 2))
 
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = window_hashes(h, self.first)
-        at = anchors(v, self.width - self.first + 1)
+    def anchors(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, places) of the first windows that are the least of all those in some window of the whole width.
+
+        Equal windows of the whole width have them at the same places, so they stand for all others.
+        """
+        reach = self.width - self.first + 1
+        v = window_hashes(w.h, self.first)
+        if len(v) < reach:
+            return v[:0], np.empty(0, np.int64)
+        low = sliding(v, reach)
+        low = np.where(np.arange(len(low)) + self.width <= w.end[: len(low)], low, U(0))  # not across documents
+        zeros = np.zeros(reach - 1, U)
+        high = sliding(np.concatenate([zeros, low, zeros]), reach, np.maximum)
+        at = np.flatnonzero((high == v) & (high > 0))
         return v[at], at
 
-    def doubled(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, starts) of the windows of the second length that start with, or end with, the windows at `at`.
+    def doubled(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, places) of the windows of the second length that start with, or end with, the windows at `at`.
 
         A window of the whole width holds one of the two.
         """
-        v = window_hashes(h, self.second)
-        back = at - (self.second - self.first)
-        right, left = at[at < len(v)], back[back >= 0]
+        v = window_hashes(w.h, self.second)
+        right = at[at + self.second <= w.end[at]]
+        left = at - (self.second - self.first)
+        left = left[left >= w.start[at]]
         return np.concatenate([v[right], mixed(v[left] + U(1))]), np.concatenate([right, left])
 
-    def whole(self, h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Starts of the windows of the whole width around those of the second length."""
-        n = len(h) - self.width + 1
-        mark = np.zeros(len(h) + 2, np.int32)
-        np.add.at(mark, np.maximum(starts - (self.width - self.second), 0), 1)
-        np.add.at(mark, starts + 1, -1)
-        return np.flatnonzero(np.cumsum(mark[:n]) > 0)
+    def whole(self, w: Words, at: np.ndarray) -> np.ndarray:
+        """Places of the windows of the whole width around those of the second length."""
+        low = np.maximum(at - (self.width - self.second), w.start[at])
+        high = np.minimum(at, w.end[at] - self.width)
+        some = high >= low
+        mark = np.zeros(len(w.h) + 1, np.int64)
+        np.add.at(mark, low[some], 1)
+        np.add.at(mark, high[some] + 1, -1)
+        return np.flatnonzero(np.cumsum(mark) > 0)
 
 
 class Filter:
@@ -111,15 +125,20 @@ def repeated_filter(keys: DataFrame) -> Filter:
     return Filter(bits, {r["at"]: r["word"] for r in rows})
 
 
+def parts(batch: pa.RecordBatch):
+    """The Words of (__row, __text) batches, some documents at a time."""
+    rows, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    for a, b in slices([len(t) for t in texts]):
+        yield Words(rows[a:b], texts[a:b])
+
+
 def keys_of(docs: DataFrame, made) -> DataFrame:
-    """(key) rows of made(word hashes) of each document."""
+    """(key) rows of made(words)."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts]):
-                found = [made(word_hashes(t.split())) for t in texts[a:b]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["key"])
+            for w in parts(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(made(w).view(np.int64), pa.int64())], ["key"])
 
     return docs.mapInArrow(run, "key long")
 
@@ -153,20 +172,15 @@ def window_rows(docs: DataFrame, levels: Levels, first: Filter, second: Filter)
         first, second = shared.value
         held, n = [], 0
         for batch in batches:
-            for row, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = word_hashes(t.split())
-                keys, at = levels.places(h)
-                at = at[first.has(keys)]
-                if not len(at):
-                    continue
-                keys, starts = levels.doubled(h, at)
-                starts = starts[second.has(keys)]
-                pos = levels.whole(h, starts)
-                if len(pos):
-                    key = window_hashes(h, levels.width)[pos].view(np.int64)
-                    more = (window_hashes(h, levels.width, 1)[pos] >> U(32)).astype(np.uint32).view(np.int32)
-                    held.append((key, more, np.full(len(pos), row, np.int64), pos.astype(np.int32)))
-                    n += len(pos)
+            for w in parts(batch):
+                keys, at = levels.anchors(w)
+                keys, at = levels.doubled(w, at[first.has(keys)])
+                at = levels.whole(w, at[second.has(keys)])
+                if len(at):
+                    key = window_hashes(w.h, levels.width)[at].view(np.int64)
+                    more = (window_hashes(w.h, levels.width, 1)[at] >> U(32)).astype(np.uint32).view(np.int32)
+                    held.append((key, more, w.row[at], (at - w.start[at]).astype(np.int32)))
+                    n += len(at)
                 if n >= HELD:
                     yield from flush(held)
                     held, n = [], 0
@@ -179,12 +193,12 @@ def window_rows(docs: DataFrame, levels: Levels, first: Filter, second: Filter)
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(row, at array<int>): the starts of the windows of each document (__row, __text) whose words start anywhere else too."""
     levels = Levels(width)
-    first = repeated_filter(keys_of(docs, lambda h: levels.places(h)[0]))
+    first = repeated_filter(keys_of(docs, lambda w: levels.anchors(w)[0]))
     shared = docs.sparkSession.sparkContext.broadcast(first)
 
-    def second_keys(h):
-        keys, at = levels.places(h)
-        return levels.doubled(h, at[shared.value.has(keys)])[0]
+    def second_keys(w):
+        keys, at = levels.anchors(w)
+        return levels.doubled(w, at[shared.value.has(keys)])[0]
 
     second = repeated_filter(keys_of(docs, second_keys))
     rows = stored(window_rows(docs, levels, first, second), "windows")
