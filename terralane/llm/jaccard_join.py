@@ -8,7 +8,7 @@ The join runs in four steps, each a Spark job over all documents.
 2. Trees. The distinct sets of a root are dealt to nodes of at most NODE sets. A node holds the OR of its sets' bitmaps,
    the range of their sizes and the most bits that one of them lost to collisions.
 3. Dual traversal. Pairs of nodes, and below them pairs of sets, are dropped where the bound on the overlap is too small for
-   the sizes; pairs that are already connected are passed over; the others are counted exactly.
+   the sizes, in larger trees first by parity bitmaps alone; pairs that are already connected are passed over; the others are counted exactly.
 4. Components of the links, with exact copies attached to their set.
 """
 
@@ -29,7 +29,7 @@ from .pieces import slices
 from .shingles import U, mixed, shingle_set
 
 #: Sets below one node.
-NODE = 128
+NODE = 256
 #: Growth of the set size from one band to the next.
 BAND = 1.5
 
@@ -96,7 +96,7 @@ def part_keys(hashes: np.ndarray, rule: Linking) -> np.ndarray:
 
 
 def chained_keys(docs: DataFrame, width: int, rule: Linking) -> DataFrame:
-    """(row, n, digest, key, prev): one row per document with its set's size and digest, and rows (row, key, prev).
+    """(row, n, digest, least, other, key, prev): one row per document with its set's size, digest and two least hashes, and rows (row, key, prev).
 
     A key that a task has met before is not sent again: the row is chained to the document it was met in (prev). So a
     key leaves a task once, however many of its documents hold it.
@@ -117,24 +117,26 @@ def chained_keys(docs: DataFrame, width: int, rule: Linking) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices([len(t) for t in texts]):
-                n, digests = [], []
+                n, digests, least, other = [], [], [], []
                 for row, t in zip(ids[a:b], texts[a:b]):
                     s = shingle_set(t.lower().split(), width)
                     n.append(len(s))
                     digests.append(set_digest(s))
+                    least.append(int(s[0].view(np.int64)) if len(s) else None)
+                    other.append(int(mixed(s + U(9)).min().view(np.int64)) if len(s) else None)
                     if len(s):
                         k = part_keys(s, rule)
                         keys.append(k)
                         rows.append(np.full(len(k), row, np.int64))
                         held += len(k)
-                yield batch_of(row=ids[a:b], n=n, digest=digests)
+                yield batch_of(row=ids[a:b], n=n, digest=digests, least=least, other=other)
                 if held > 2_000_000:
                     yield from flush()
                     keys, rows, held = [], [], 0
         if keys:
             yield from flush()
 
-    return docs.select("__row", "__text").mapInArrow(run, "row long, n long, digest binary, key long, prev long")
+    return docs.select("__row", "__text").mapInArrow(run, "row long, n long, digest binary, key long, prev long, least long, other long")
 
 
 def set_digest(s: np.ndarray) -> bytes:
@@ -144,7 +146,7 @@ def set_digest(s: np.ndarray) -> bytes:
 
 def batch_of(**columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
-    kinds = {"row": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "key": pa.int64(), "prev": pa.int64()}
+    kinds = {"row": pa.int64(), "n": pa.int64(), "digest": pa.binary(), "key": pa.int64(), "prev": pa.int64(), "least": pa.int64(), "other": pa.int64()}
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
 
 
@@ -209,6 +211,63 @@ def links(left: Tree, right: Tree, rule: Linking, known: dict[int, int]) -> Iter
                 yield row, other
 
 
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """(row, n, parity) of (row, __text): for each of a number of buckets whether an odd number of the set's hashes is in it."""
+
+    def run(batches):
+        for batch in batches:
+            n, parity = [], []
+            for t in batch.column(1).to_pylist():
+                s = shingle_set(t.lower().split(), width)
+                bits = 64
+                while bits < min(16 * len(s), 1 << 14):
+                    bits *= 2
+                odd = (np.bincount(((s >> U(7)) % U(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+                n.append(len(s))
+                parity.append(np.packbits(odd, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(parity, pa.binary())], ["row", "n", "parity"])
+
+    return rows.select("row", "__text").mapInArrow(run, "row long, n long, parity binary")
+
+
+def folded(parity: bytes, size: int) -> np.ndarray:
+    """The parity of fewer buckets, `size` bytes of them."""
+    x = np.frombuffer(parity, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(U)
+
+
+def near_pairs(units: DataFrame, rule: Linking) -> DataFrame:
+    """(a, b) pairs of a unit's two nodes that may link: each odd bucket is a difference, and linked sets have few."""
+
+    def run(batches):
+        now, held = None, ([], [])
+
+        def close():
+            left, right = held
+            if not left or not right:
+                return
+            size = min(len(p) for h in held for *_, p in h)
+            maps = np.stack([folded(p, size) for *_, p in right])
+            rows, comps, n = (np.array([r[k] for r in right], np.int64) for k in range(3))
+            for row, comp, m, p in left:
+                differ = np.bitwise_count(maps ^ folded(p, size)).sum(1, dtype=np.int64)
+                at = np.flatnonzero((comps != comp) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)) & ((rule.den + rule.num) * differ <= (rule.den - rule.num) * (n + m)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), pa.array(rows[at], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for unit, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if unit != now:
+                    yield from close()
+                    now, held = unit, ([], [])
+                held[side].append(row)
+        yield from close()
+
+    return units.select("unit", "side", "row", "comp", "n", "parity").mapInArrow(run, "a long, b long")
+
+
 def tree_links(units: DataFrame, width: int, rule: Linking) -> DataFrame:
     """(a, b) links of (unit, side, row, comp, text), sorted by unit within partitions. side 0 and 1 are the two nodes; a unit of one node has side 0."""
 
@@ -238,12 +297,12 @@ def tree_links(units: DataFrame, width: int, rule: Linking) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, width: int = 5, share: float | str = "0.8", text: str = "text") -> DataFrame:
-    """Add __row, n_shingles and __class to documents: the least __row that is reachable by links."""
+    """__row, doc_id, n_shingles, and __class of each document: the least __row that is reachable by links."""
     rule = Linking(*Fraction(str(share)).as_integer_ratio())
     rows = with_row_id(docs)
     raw = rows.select("__row", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     base = stored(chained_keys(raw, width, rule), "keys")
-    sets = base.where("digest is not null").select("row", "n", "digest")
+    sets = base.where("digest is not null").select("row", "n", "digest", "least", "other")
     # one row stands for each distinct set
     groups = sets.where("n > 0").groupBy("digest").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     reps = stored(lookup(sets.where("n > 0"), groups, "digest", "size", sets.count()).select("row", "n", "rep"), "sets")
@@ -256,9 +315,11 @@ def near_classes(docs: DataFrame, width: int = 5, share: float | str = "0.8", te
     roots = stored(connected_components(stored(edges, "edges"), "a", "b"), "roots")  # node, component
     sizes = roots.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("nodes", F.ceil(F.col("size") / NODE).cast("int"))
     members = stored(lookup(roots, sizes, "component", "size", roots.count()).select(F.col("node").alias("row"), F.col("component").alias("tree"), "nodes"), "trees")
-    # first the sets below one node; the sets of a larger tree are dealt out twice
-    tries = F.explode(F.when(F.col("nodes") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("t")
-    once = members.select("row", "tree", "nodes", tries).select("row", F.col("row").alias("comp"), F.lit(0).alias("side"), F.concat_ws("/", "tree", "t", node_of("t")).alias("unit"))
+    # first the sets below one node; a larger tree's sets are dealt out twice, each time with those that share a least hash
+    tries = F.explode(F.when(F.col("nodes") > 1, F.array(*(F.struct(F.lit(i).alias("t"), F.pmod(F.col(c), F.col("nodes") * 4).alias("m")) for i, c in enumerate(("least", "other"))))).otherwise(F.array(F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("m"))))).alias("d")
+    dealt = members.join(sets.select("row", "least", "other"), "row").select("row", tries, "tree").select("row", F.concat_ws("/", "tree", "d.t", "d.m").alias("node"))
+    full = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.count(F.lit(1)) / NODE).alias("cuts"))
+    once = lookup(dealt, full, "node", "size", dealt.count()).select("row", F.col("row").alias("comp"), F.lit(0).alias("side"), F.concat_ws("/", "node", F.pmod(F.xxhash64("row"), F.col("cuts"))).alias("unit"))
     found = stored(tree_links(with_texts(once, raw), width, rule), "links")
     # then, in larger trees, the sets outside the largest component so far against all
     tall = members.where("nodes > 1")
@@ -268,16 +329,24 @@ def near_classes(docs: DataFrame, width: int = 5, share: float | str = "0.8", te
         largest = tall.groupBy("tree", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("tree").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"))
         largest = largest.select("tree", "size", F.col("top.comp").alias("top"), F.ceil((F.col("size") - F.col("top.n")) / NODE).cast("int").alias("rest")).where("rest > 0")
         tall = lookup(tall, largest, "tree", "size", tall.count())
+        tall = stored(tall.join(signatures(tall.join(raw, F.col("row") == F.col("__row")), width), "row"), "tall")
         all_sets = tall.select("*", F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("i"), node_of(F.lit(2)).alias("j")).withColumn("side", F.lit(1))
         rest = tall.where("comp <> top").select("*", F.pmod(F.xxhash64("row", F.lit(3)), F.col("rest")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nodes") - 1)).alias("j")).withColumn("side", F.lit(0))
-        unit = F.concat_ws("/", "tree", F.lit("rest"), "i", "j").alias("unit")
-        pairs = all_sets.select("row", "comp", "side", unit).unionByName(rest.select("row", "comp", "side", unit))
-        found = found.unionByName(stored(tree_links(with_texts(pairs, raw), width, rule), "links"))
+        columns = [F.concat_ws("/", "tree", "i", "j").alias("unit"), "side", "row", "comp", "n", "parity"]
+        units = all_sets.select(*columns).unionByName(rest.select(*columns)).repartition("unit").sortWithinPartitions("unit")
+        pairs = stored(near_pairs(units, rule).distinct(), "pairs")
+        # some sets outside at a time, with all their candidates, each of which comes once for them all
+        comps = tall.select("row", "comp")
+        few = F.pmod(F.xxhash64("a"), F.col("rest") * max(1, NODE // 64))
+        many = F.pmod(F.xxhash64("b"), F.ceil(F.col("nodes") / 8))
+        units = pairs.join(tall.select(F.col("row").alias("a"), "tree", "rest", "nodes"), "a").withColumn("unit", F.concat_ws("/", "tree", few, many))
+        ends = units.select("unit", F.lit(0).alias("side"), F.col("a").alias("row")).distinct().unionByName(units.select("unit", F.lit(1).alias("side"), F.col("b").alias("row")).distinct())
+        found = found.unionByName(stored(tree_links(with_texts(ends.join(comps, "row"), raw), width, rule), "links"))
     joined = connected_components(found, "a", "b").withColumnsRenamed({"node": "rep", "component": "class"})
     copies = reps.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))
     classes = copies.join(joined, "rep", "left").select("rep", "size", F.coalesce("class", "rep").alias("__class"))
     classed = lookup(reps, classes, "rep", "size", reps.count()).select(F.col("row").alias("__row"), "__class")
-    return rows.join(sets.select(F.col("row").alias("__row"), F.col("n").alias("n_shingles")), "__row", "left").join(classed, "__row", "left").withColumn("__class", F.coalesce("__class", "__row"))
+    return rows.select("__row", "doc_id").join(sets.select(F.col("row").alias("__row"), F.col("n").alias("n_shingles")), "__row", "left").join(classed, "__row", "left").withColumn("__class", F.coalesce("__class", "__row"))
 
 
 def node_of(salt) -> Column:
@@ -307,6 +376,6 @@ def components(docs: DataFrame, width: int = 5, share: float | str = "0.8") -> D
 
 def keep_one(docs: DataFrame, width: int = 5, share: float | str = "0.8") -> DataFrame:
     """The documents less all but the first of each component: of those with the least doc_id (nulls last) the one read first."""
-    near = near_classes(docs, width, share)
+    near = near_classes(docs.select("doc_id", "text"), width, share).select("doc_id", "__row", "__class")
     best = near.groupBy("__class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
-    return near.join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    return with_row_id(docs).join(best.select(F.col("best.__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
