@@ -248,14 +248,20 @@ def near_pairs(units: DataFrame, rule: Linking) -> DataFrame:
             left, right = held
             if not left or not right:
                 return
-            size = min(len(p) for h in held for *_, p in h)
-            maps = np.stack([folded(p, size) for *_, p in right])
-            rows, comps, n = (np.array([r[k] for r in right], np.int64) for k in range(3))
+            # sets of a kind have equally many buckets; two kinds meet at the fewer of both
+            kinds = {k: [r for r in right if len(r[3]) == k] for k in {len(r[3]) for r in right}}
+            columns = {k: [np.array([r[i] for r in rs], np.int64) for i in range(3)] for k, rs in kinds.items()}
+            maps: dict[tuple[int, int], np.ndarray] = {}
             for row, comp, m, p in left:
-                differ = np.bitwise_count(maps ^ folded(p, size)).sum(1, dtype=np.int64)
-                at = np.flatnonzero((comps != comp) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)) & ((rule.den + rule.num) * differ <= (rule.den - rule.num) * (n + m)))
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), pa.array(rows[at], pa.int64())], ["a", "b"])
+                for k, rs in kinds.items():
+                    size = min(k, len(p))
+                    if (k, size) not in maps:
+                        maps[k, size] = np.stack([folded(r[3], size) for r in rs])
+                    rows, comps, n = columns[k]
+                    differ = np.bitwise_count(maps[k, size] ^ folded(p, size)).sum(1, dtype=np.int64)
+                    at = np.flatnonzero((comps != comp) & (rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)) & ((rule.den + rule.num) * differ <= (rule.den - rule.num) * (n + m)))
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row), pa.int64()), pa.array(rows[at], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for unit, side, *row in zip(*(c.to_pylist() for c in batch.columns)):
