@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import lookup, stored, with_row_id
+from .common import lookup, lower_ascii, stored, with_row_id
 
 #: A line is boilerplate when at least so many distinct sites have it.
 MIN_SITES = 10
@@ -29,31 +29,60 @@ def trimmed(line):
     return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
 
 
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
+    """(line_key, sites, uses): the keys whose estimated sites may reach min_sites, with their number of uses."""
+    return stored(lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("uses")).where(F.col("sites") >= min_sites * (1 - margin)), "spread")
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """The keys on at least min_sites sites, of (line_key, site) rows, with their number of uses.
 
     Sketches of each key's sites merge by aggregation. Keys whose estimate is near the limit are counted exactly,
     by distinct (key, site) pairs; the others' estimates decide.
     """
-    spread = stored(lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("uses")).where(F.col("sites") >= min_sites * (1 - margin)), "spread")
+    spread = spread_lines(lines, min_sites, margin)
     clear = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line_key", "uses")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line_key", "uses")
     exact = lines.join(near, "line_key").select("line_key", "site", "uses").distinct().groupBy("line_key").agg(F.count(F.lit(1)).alias("sites"), F.first("uses").alias("uses"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("line_key", "uses"))
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def copy_key(text):
+    """128 bits of the text's words, without ASCII case and with one blank between words."""
+    return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(lower_ascii(text), r"[\x20\x09-\x0D]+", " ")), 256), 1, 32))
+
+
+def boilerplate_of_distinct(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """boilerplate_lines of (line_key, site, copy, id) rows, where the rows of one copy key vote once, by the site of the least id.
+
+    Votes never outnumber sites, so only the lines that all rows put near the limit are counted again.
+    """
+    spread = spread_lines(lines.select("line_key", "site"), min_sites)
+    if spread.count() <= SENT_LINES:
+        found = lines.join(F.broadcast(spread.select("line_key")), "line_key")
+    else:
+        found = lookup(lines, spread.select("line_key", "uses"), "line_key", "uses", spread.agg(F.sum("uses").alias("n")).first()["n"])
+    votes = stored(found.groupBy("line_key", "copy").agg(F.min(F.struct("id", "site")).alias("vote")).select("line_key", F.col("vote.site").alias("site")), "votes")
+    return boilerplate_lines(votes, min_sites).select("line_key").join(spread.select("line_key", "uses"), "line_key")
+
+
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, once: str | None = None) -> DataFrame:
     """Remove lines that stand on many sites.
 
     Lines are what newlines separate, compared without the white space around them; empty lines always stay. All
     uses of a line on at least min_sites distinct sites go. A null site counts as a site named by an empty text. Result:
     the columns of docs (n_chars, where there is one, is that of the new text), n_lines and n_removed; each row
     gives one row. A null text stays null with no lines. No rows give no rows.
+
+    With `once`, a column of ids, copies of one text (equal words but for ASCII case) count as one document on the
+    site of the least id: a copied article is no boilerplate, however many sites its copies stand on.
     """
     rows = with_row_id(docs.drop("n_lines", "n_removed"))
-    lines = rows.select("__row", F.coalesce(F.col(site), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(trimmed(F.col("line")) != "").select("__row", "site", "pos", line_key(F.col("line")).alias("line_key"))
-    bad = stored(boilerplate_lines(lines.select("line_key", "site"), min_sites), "boilerplate")
+    copy = [] if once is None else [copy_key(F.col("text")).alias("copy"), F.col(once).alias("id")]
+    lines = rows.select("__row", F.coalesce(F.col(site), F.lit("")).alias("site"), *copy, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.where(trimmed(F.col("line")) != "").select("__row", "site", *(["copy", "id"] if copy else []), "pos", line_key(F.col("line")).alias("line_key"))
+    found = boilerplate_of_distinct(lines.select("line_key", "site", "copy", "id"), min_sites) if copy else boilerplate_lines(lines.select("line_key", "site"), min_sites)
+    bad = stored(found, "boilerplate")
     if bad.count() <= SENT_LINES:
         return without(rows, {bytes(r["line_key"]) for r in bad.select("line_key").collect()})
     # only lines that are removed come back to their documents

@@ -8,10 +8,13 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
+from fixtures import table
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from terralane.llm import line_dedup, toxicity
+from terralane.llm.common import stored
 
 
 def u(*key):
@@ -76,3 +79,18 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+@pytest.mark.parametrize("sent", [line_dedup.SENT_LINES, 0])
+def test_one_copy_of_a_spread_article_stays(spark, monkeypatch, sent):
+    monkeypatch.setattr(line_dedup, "SENT_LINES", sent)
+    article = "\n".join(" ".join(f"w{k}x{j}" for j in range(12)) for k in range(8))
+    rows = [(30 - i, article.replace(" ", "  ") if i == 3 else article, "en", f"s{i}", len(article)) for i in range(12)]
+    # boilerplate under twelve texts of their own, and a document of nothing else
+    rows += [(100 + i, " ".join(f"own{i}y{j}" for j in range(12)) + "\nall rights reserved", "en", f"s{i}", 0) for i in range(12)]
+    rows += [(200, "all rights reserved", "en", "s1", 19)]
+    lines = stored(corpus_pipeline.drop_boilerplate(spark, table(spark, rows), ""))
+    assert sorted(r.doc_id for r in lines.collect()) == [*range(19, 31), *range(100, 112)]
+    assert not any("reserved" in r.text for r in lines.collect())
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_near_copies(spark, lines, "").collect()}
+    assert sorted(kept) == [19, *range(100, 112)] and kept[19] == article
