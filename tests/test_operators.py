@@ -71,6 +71,49 @@ def test_routes_of_random_graphs(spark):
         assert (r.length is None and d[a, b] == math.inf) or abs(r.length - d[a, b]) < 1e-6
 
 
+def test_route_queries_take_every_point(spark):
+    from types import SimpleNamespace
+
+    from terralane.queries import routing as queries
+
+    rng = random.Random(4)
+    points = [(rng.uniform(0, 0.2), rng.uniform(0, 0.2)) for _ in range(14)]
+    t = SimpleNamespace(embeddings=spark.createDataFrame([(i, 0, [x, y]) for i, (x, y) in enumerate(points)], "vec_id long, label int, embedding array<double>"))
+    at = [(1000 * x, 1000 * y) for x, y in points]
+    edges = [p for p in itertools.combinations(range(14), 2) if math.dist(at[p[0]], at[p[1]]) <= 60]
+    d = {(i, j): 0.0 if i == j else math.inf for i in range(14) for j in range(14)}
+    for u, v in edges:
+        d[u, v] = d[v, u] = math.dist(at[u], at[v])
+    for k, i, j in itertools.product(range(14), repeat=3):
+        d[i, j] = min(d[i, j], d[i, k] + d[k, j])
+
+    def nearest(x, y):
+        found = []
+        for u, v in edges:
+            (a, b), (p, q) = at[u], at[v]
+            k = max(0, min(1, ((x - a) * (p - a) + (y - b) * (q - b)) / math.dist(at[u], at[v]) ** 2))
+            found.append((round(math.dist((x, y), (a + k * (p - a), b + k * (q - b))), 9), u, v, k))
+        return min((f for f in found if f[0] <= 40), default=None)
+
+    starts, want = {}, {}
+    for i in range(12):
+        s, g = nearest(at[i][0] + 3, at[i][1] - 2), nearest(at[i + 2][0] - 1, at[i + 2][1] + 4)
+        if s:
+            starts[i] = s[1:3]
+        if not s or not g:
+            want[i] = (None, "projection")
+            continue
+        (_, u, v, k), (_, a, b, m) = s, g
+        w, z = math.dist(at[u], at[v]), math.dist(at[a], at[b])
+        ways = [x + d[n, e] + y for n, x in ((u, k * w), (v, (1 - k) * w)) for e, y in ((a, m * z), (b, (1 - m) * z))]
+        best = min([*ways, abs(k - m) * w] if (u, v) == (a, b) else ways)
+        want[i] = (None, "disconnected") if best == math.inf else (best, None)
+    got = {r.id: (r.length, r.failure) for r in queries.results(t).collect()}
+    assert got.keys() == want.keys() and any(w[0] for w in want.values())
+    assert all(got[i][1] == f and (n is None) == (got[i][0] is None) and abs((n or 0) - (got[i][0] or 0)) < 1e-6 for i, (n, f) in want.items())
+    assert {r.id: (r.u, r.v) for r in queries.project_starts(t, queries.pairs(t)).collect()} == starts
+
+
 def test_curved_edge_and_runs(spark):
     poly = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (5, 5), (10, 0))))
     r = spark.range(1).select(geom.arc_length(poly).alias("l"), geom.project(10.0, 3.0, poly).alias("p"), geom.longest_run(F.array(*(F.lit(v) for v in (True, True, False, True)))).alias("run"), geom.axis_count(F.array(*(F.lit(float(a)) for a in (0, 178, 90, 270, 45))), 15.0).alias("axes")).first()
