@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geom
 from ..functions.spatial import near_points, near_segments
+from ..plans.scratch import stored
 from .graph import SCENE, component_inventory, component_table, components, degrees, with_ends
 
 # Shares of the five sub-scores.
@@ -97,6 +98,28 @@ def budget(rows: DataFrame, n: int, order: Sequence[Column], end: str = "a") ->
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(SCENE, end).orderBy(*order))).where(F.col("k") <= n).drop("k")
 
 
+def budget_both(rows: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
+    """The rows (scene, a, b, status) that a greedy pass by `order` takes when each endpoint, as a or b, has room for n rows.
+
+    Rejected rows stay and take no room.
+
+    Each round takes the rows that are among the first of both their ends as far as these have room; those with a full
+    end drop out. The first row of all is always taken, so the rounds end. `order` must leave no ties.
+    """
+    number = F.row_number().over(Window.partitionBy(SCENE).orderBy(*order))
+    every = stored(rows.where("status <> 'rejected'").withColumn("__k", number), "budget")
+    ends = stored(every.select(SCENE, "__k", F.explode(F.array_distinct(F.array("a", "b"))).alias("end"), F.lit(False).alias("taken")), "ends")
+    w = Window.partitionBy(SCENE, "end")
+    while not ends.where("not taken").isEmpty():
+        room = ends.withColumn("room", n - F.count_if("taken").over(w))
+        rank = F.row_number().over(Window.partitionBy(SCENE, "end", "taken").orderBy("__k"))
+        row = Window.partitionBy(SCENE, "__k")
+        step = room.withColumn("rank", rank).withColumn("full", F.max(F.col("room") <= 0).over(row)).withColumn("first", F.min(F.col("rank") <= F.col("room")).over(row))
+        ends = stored(step.where("taken or not full").select(SCENE, "__k", "end", (F.col("taken") | F.col("first")).alias("taken")), "ends")
+    taken = every.join(ends.select(SCENE, "__k").distinct(), [SCENE, "__k"]).select(*rows.columns)
+    return taken.unionByName(rows.where("status = 'rejected'"))
+
+
 def component_pairs(nodes: DataFrame, edges: DataFrame, radius: float, k: int) -> DataFrame:
     """(scene, a, b, distance): components whose boxes lie within the radius, each with its k nearest ones, as unordered pairs.
 

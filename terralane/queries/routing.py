@@ -118,10 +118,18 @@ def _(t):
 f AS (SELECT *, CASE WHEN length > 55 THEN 'length' END AS f1, CASE WHEN score < 0.4 THEN 'score' END AS f2 FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, a ORDER BY round(score, 9) DESC, b) AS k FROM f)
 SELECT scene_id, a, b, round(score, 6) AS score, concat_ws(',', f1, f2) AS flags, CASE WHEN f1 IS NULL AND f2 IS NULL THEN 'accepted' ELSE 'rejected' END AS status FROM k WHERE k <= 5""")
 def _(t):
+    return rounded(pr.budget(scored(t), 5, [F.desc(F.round("score", 9)), F.col("b")]).select("scene_id", "a", "b", "score", F.array_join("rejection_flags", ",").alias("flags"), "status"))
+
+
+@query("h14_budget_both")
+def _(t):
+    return rounded(pr.budget_both(scored(t), 5, [F.desc(F.round("score", 9)), F.col("a"), F.col("b")]).select("scene_id", "a", "b", "score", "status"))
+
+
+def scored(t):
     e = edges(t).select("scene_id", F.col("u").alias("a"), F.col("v").alias("b"), "length")
     e = e.withColumn("score", pr.heuristic_score({"distance": 1 - F.col("length") / 60, "angle": (F.col("a") % 10) / 10, "probability": (F.col("b") % 7) / 7, "graph": F.lit(0.5), "shape": F.lit(1.0)}))
-    g = pr.gate(e, [(F.col("length") > 55, "length"), (F.col("score") < 0.4, "score")])
-    return rounded(pr.budget(g, 5, [F.desc(F.round("score", 9)), F.col("b")]).select("scene_id", "a", "b", "score", F.array_join("rejection_flags", ",").alias("flags"), "status"))
+    return pr.gate(e, [(F.col("length") > 55, "length"), (F.col("score") < 0.4, "score")])
 
 
 @query("h15_component_pairs", COMP + """, b AS (SELECT scene_id, component, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM co JOIN pts USING (scene_id, id) GROUP BY 1, 2),

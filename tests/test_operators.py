@@ -114,6 +114,23 @@ def test_route_queries_take_every_point(spark):
     assert {r.id: (r.u, r.v) for r in queries.project_starts(t, queries.pairs(t)).collect()} == starts
 
 
+def test_budget_counts_both_ends(spark):
+    from terralane.operators import proposals
+
+    rng = random.Random(5)
+    rows = [("s", a, b, rng.randrange(6), rng.choice(("accepted", "accepted", "rejected"))) for a, b in itertools.combinations(range(9), 2)] + [("t", i, 50, i, "accepted") for i in range(6)]
+    room, want = {}, set()
+    for s, a, b, _, status in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if status == "rejected":
+            want.add((s, a, b))
+        elif room.get((s, a), 0) < 2 and room.get((s, b), 0) < 2:
+            want.add((s, a, b))
+            for x in (a, b):
+                room[s, x] = room.get((s, x), 0) + 1
+    df = spark.createDataFrame(rows, "scene_id string, a long, b long, score long, status string")
+    assert {(r.scene_id, r.a, r.b) for r in proposals.budget_both(df, 2, [F.desc("score"), F.col("a"), F.col("b")]).collect()} == want
+
+
 def test_curved_edge_and_runs(spark):
     poly = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (5, 5), (10, 0))))
     r = spark.range(1).select(geom.arc_length(poly).alias("l"), geom.project(10.0, 3.0, poly).alias("p"), geom.longest_run(F.array(*(F.lit(v) for v in (True, True, False, True)))).alias("run"), geom.axis_count(F.array(*(F.lit(float(a)) for a in (0, 178, 90, 270, 45))), 15.0).alias("axes")).first()
