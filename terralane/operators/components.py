@@ -1,32 +1,70 @@
-"""Connected components by alternating stars."""
+"""Connected components: edges are contracted where they lie, then by alternating stars."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
-from ..plans.scratch import stored
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from ..plans.scratch import free, stored
+
+
+def least_nodes(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges and the least node that each reaches by them."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    least = np.arange(len(nodes))
+    while True:
+        a, b = least[u], least[v]
+        open_ = a != b
+        if not open_.any():
+            return nodes, nodes[least]
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) whose partitions have become stars: each task links its nodes to the least one that it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            nodes, least = least_nodes(*(np.concatenate(x) for x in zip(*held)))
+            own = nodes != least
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(least[own])], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def are_stars(e: DataFrame, by: list[str]) -> bool:
+    """Whether every node has one edge to a least node that has none."""
+    ends = e.select(*by, F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(e.select(*by, F.col("v").alias("x"), F.lit(0).alias("up")))
+    return ends.groupBy(*by, "x").agg(F.sum("up").alias("ups"), F.count(F.lit(1)).alias("n")).where("ups > 1 or (ups > 0 and n > ups)").isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str = "u", b: str = "v", by: list[str] | None = None) -> DataFrame:
     """(*by, node, component) of every node that has an edge; component is its least node.
 
     Each round links all larger neighbours of a node to the least node around it, then all smaller ones, until
-    every component is a star around its least node (a number of rounds about logarithmic in the longest path). A
-    round is four shuffles of at most one row per edge, and is written to the shared folder. Loops and repeated edges count
-    for nothing. by: columns that keep graphs apart.
+    every component is a star around its least node (a number of rounds about logarithmic in the longest path). Nodes that are
+    long are first contracted within each partition. A round is four shuffles of at most one row per edge; it is written to the
+    shared folder, and the round before is deleted. Loops and repeated edges count for nothing. by: columns that keep graphs apart.
     """
     by = by or []
     e = edges.select(*by, F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, mark = stored(e, "edges"), None
-    while True:
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == mark or not now["n"]:
-            break
-        mark = now
+    if not by and e.schema["u"].dataType == e.schema["v"].dataType == T.LongType():
+        e = contracted(e).distinct()
+    e = stored(e, "edges")
+    while not are_stars(e, by):
         both = e.unionByName(e.select(*by, F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(*by, "u").agg(F.min("v").alias("m"))
         large = both.where("v > u").join(least, [*by, "u"]).select(*by, F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy(*by, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [*by, "u"]).where("v <> m").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, stored(small.unionByName(least.select(*by, "u", F.col("m").alias("v"))).distinct(), "edges")
+        free(before)
     return e.select(*by, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(*by, F.col("v").alias("node"), F.col("v").alias("component")).distinct())
