@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.scratch import shared_dir, stored  # noqa: F401
+from ..plans.scratch import free, shared_dir, stored  # noqa: F401
 
 #: A word is a run without ASCII white space; bytes.split() cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -13,10 +13,28 @@ HOT_PARTS = 1000
 
 
 def with_row_id(docs: DataFrame, name: str = "__row") -> DataFrame:
-    """A number for each row. It repeats from scan to scan for the tables these operators take (file scans, local rows)."""
+    """A number for each row, fixed only once the result is stored: another scan may number the rows differently."""
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def text_key(text: Column) -> Column:
+    """128 bits of a text, which find it again in another scan, however its rows are split there."""
+    return F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or a longer one where df has a column of that name (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
 def lower_ascii(text):
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
