@@ -10,6 +10,8 @@ import unicodedata
 
 import numpy as np
 
+from .shingles import span_hashes, word_spans
+
 #: Pieces kept in a worker's cache. Beyond it the older half stays: frequent pieces are met first.
 CACHE_PIECES = 1_200_000
 #: A longer piece is encoded each time.
@@ -26,6 +28,9 @@ WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|[
 #: Pieces that normalisation only lower-cases, letter by letter: no white space, no combining marks, no dotted capital I.
 PLAIN = re.compile("[^\x85\xa0\u0130\u0250-\U0010ffff]*")
 WORD_END = "</w>"
+#: What the file must say for pieces to stand alone (fixed values).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 class PieceEncoder:
@@ -45,7 +50,10 @@ class PieceEncoder:
         self.full.no_padding()
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        spec = json.load(open(path))
+        with open(path) as f:
+            spec = json.load(f)
+        if not self.supported(spec):
+            raise ValueError(f"{path}: only a byte-level BPE whose tokens end at white space, with an end of word and without a decoder, is encoded by pieces")
         self.special = [x["content"] for x in spec["added_tokens"]]
         size = self.full.get_vocab_size()
         names = [self.full.id_to_token(i) for i in range(size)]
@@ -56,6 +64,15 @@ class PieceEncoder:
         self.byte_names = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
         self.cache: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def supported(spec: dict) -> bool:
+        normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = cuts[0].get("pattern", {}).get("Regex") if len(cuts) == 2 else None
+        model = spec["model"]
+        plain = spec.get("decoder") is None and spec.get("post_processor") is None and not model.get("dropout") and not model.get("ignore_merges")
+        return plain and normal == NORMALIZERS and split == PATTERN and cuts[1].get("type") == "ByteLevel" and model.get("end_of_word_suffix") == WORD_END
+
     def words(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece, or None where only the whole library gives them."""
         if any(s in piece for s in self.special):
@@ -92,13 +109,20 @@ class PieceEncoder:
                 self.cache.pop(p, None)
 
     def texts(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of whole texts."""
-        cut = [t.split() for t in texts]
-        pieces = set().union(*cut)
-        self.learn(pieces)
-        out = [b"".join(map(self.cache.__getitem__, c)) for c in cut]
-        self.forget_long(pieces)
-        return out
+        """The ids of whole texts: each distinct piece of them is looked up once, and its ids are put to all its places."""
+        joined, start, end, first = word_spans(texts)
+        _, at, place = np.unique(span_hashes(joined, start, end), return_index=True, return_inverse=True)
+        pieces = [joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        self.learn(set(pieces))
+        found = list(map(self.cache.__getitem__, pieces))
+        self.forget_long(set(pieces))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        n = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[place] - ends[:-1], n)]
+        cut = ends[first].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
 
     def decode(self, ids: bytes) -> bytes:
         """As decode(ids, skip_special_tokens=False): this tokenizer has no decoder, so tokens are joined by a space."""
