@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import lookup, lower_ascii, stored, with_row_id
+from .common import lookup, lower_ascii, stored, text_key
 
 #: A line is boilerplate when at least so many distinct sites have it.
 MIN_SITES = 10
@@ -26,12 +26,12 @@ def line_key(line):
 
 
 def trimmed(line):
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    return F.regexp_replace(line, r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
     """(line_key, sites, uses): the keys whose estimated sites may reach min_sites, with their number of uses."""
-    return stored(lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("uses")).where(F.col("sites") >= min_sites * (1 - margin)), "spread")
+    return stored(lines.groupBy("line_key").agg(F.hll_sketch_estimate(F.hll_sketch_agg(F.concat(F.lit("s"), "site"), F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("uses")).where(F.col("sites") >= min_sites * (1 - margin)), "spread")
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
@@ -43,7 +43,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: floa
     spread = spread_lines(lines, min_sites, margin)
     clear = spread.where(F.col("sites") > min_sites * (1 + margin)).select("line_key", "uses")
     near = spread.where(F.col("sites") <= min_sites * (1 + margin)).select("line_key", "uses")
-    exact = lines.join(near, "line_key").select("line_key", "site", "uses").distinct().groupBy("line_key").agg(F.count(F.lit(1)).alias("sites"), F.first("uses").alias("uses"))
+    total = near.agg(F.sum("uses").alias("n")).first()["n"] or 0
+    exact = lookup(lines, near, "line_key", "uses", total).select("line_key", "site", "uses").distinct().groupBy("line_key").agg(F.count(F.lit(1)).alias("sites"), F.first("uses").alias("uses"))
     return clear.unionByName(exact.where(F.col("sites") >= min_sites).select("line_key", "uses"))
 
 
@@ -71,37 +72,51 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
 
     Lines are what newlines separate, compared without the white space around them; empty lines always stay. All
     uses of a line on at least min_sites distinct sites go. A null site counts as a site named by an empty text. Result:
-    the columns of docs (n_chars, where there is one, is that of the new text), n_lines and n_removed; each row
-    gives one row. A null text stays null with no lines. No rows give no rows.
+    the columns of docs (n_chars, where there is one, is that of the new text), n_lines and n_removed (columns of these names are
+    replaced); each row gives one row. A null text stays null with no lines. No rows give no rows.
 
     With `once`, a column of ids, copies of one text (equal words but for ASCII case) count as one document on the
     site of the least id: a copied article is no boilerplate, however many sites its copies stand on.
     """
-    rows = with_row_id(docs.drop("n_lines", "n_removed"))
-    copy = [] if once is None else [copy_key(F.col("text")).alias("copy"), F.col(once).alias("id")]
-    lines = rows.select("__row", F.coalesce(F.col(site), F.lit("")).alias("site"), *copy, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.where(trimmed(F.col("line")) != "").select("__row", "site", *(["copy", "id"] if copy else []), "pos", line_key(F.col("line")).alias("line_key"))
-    found = boilerplate_of_distinct(lines.select("line_key", "site", "copy", "id"), min_sites) if copy else boilerplate_lines(lines.select("line_key", "site"), min_sites)
+    own = [i for i, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_removed")]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).select(*(names[i] for i in own))
+    at = {c: names[docs.columns.index(c)] for c in ("text", site, *([once] if once else []))}
+    size = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
+    text = F.col(at["text"])
+    copy = [] if once is None else [copy_key(text).alias("copy"), F.col(at[once]).alias("id")]
+    lines = rows.select(F.coalesce(F.col(at[site]), F.lit("")).alias("site"), *copy, F.explode(F.split(text, "\n")).alias("line"))
+    lines = lines.where(trimmed(F.col("line")) != "").select("site", *(["copy", "id"] if copy else []), line_key(F.col("line")).alias("line_key"))
+    found = boilerplate_of_distinct(lines, min_sites) if copy else boilerplate_lines(lines, min_sites)
     bad = stored(found, "boilerplate")
     if bad.count() <= SENT_LINES:
-        return without(rows, {bytes(r["line_key"]) for r in bad.select("line_key").collect()})
-    # only lines that are removed come back to their documents
+        out = without(rows, at["text"], size, {bytes(r["line_key"]) for r in bad.select("line_key").collect()})
+    else:
+        out = without_joined(rows, at["text"], size, bad)
+    return out.toDF(*(docs.columns[i] for i in own), "n_lines", "n_removed")
+
+
+def without_joined(rows: DataFrame, text: str, size: str | None, bad: DataFrame) -> DataFrame:
+    """The rows without the lines of `bad`, by joins: places of such lines come back to their texts, by the texts' keys."""
+    keyed = rows.withColumn("t", text_key(F.col(text)))
+    sizes = keyed.groupBy("t").agg(F.count(F.lit(1)).alias("size"))
+    once = keyed.select("t", text).dropDuplicates(["t"])
+    lines = once.select("t", F.posexplode(F.split(text, "\n")).alias("pos", "line")).where(trimmed(F.col("line")) != "").select("t", "pos", line_key(F.col("line")).alias("line_key"))
     uses = bad.agg(F.sum("uses").alias("n")).first()["n"] or 0
-    gone = lookup(lines.select("__row", "pos", "line_key"), bad, "line_key", "uses", uses)
-    gone = gone.groupBy("__row").agg(F.collect_list("pos").alias("__gone"))
-    out = rows.join(gone, "__row", "left")
-    parts = F.split("text", "\n")
-    stay = F.filter(parts, lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    cols = [text.alias("text") if c == "text" else F.length(text).cast(rows.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in rows.columns if c != "__row"]
-    return out.select(*cols, F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    gone = lookup(lines, bad, "line_key", "uses", uses).groupBy("t").agg(F.collect_list("pos").alias("gone"))
+    out = lookup(keyed, sizes.join(gone, "t", "left"), "t", "size", rows.count())
+    parts = F.split(text, "\n")
+    stay = F.filter(parts, lambda _, i: ~F.array_contains("gone", i))
+    left = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join(stay, "\n"))
+    cols = [left.alias(c) if c == text else F.length(left).cast(rows.schema[c].dataType).alias(c) if c == size else F.col(c) for c in rows.columns]
+    return out.select(*cols, F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
 
 
-def without(rows: DataFrame, bad: set[bytes]) -> DataFrame:
+def without(rows: DataFrame, text: str, size: str | None, bad: set[bytes]) -> DataFrame:
     """The rows without the lines whose keys are in `bad`, by one pass over the texts."""
-    kept = [c for c in rows.columns if c != "__row"]
-    at, size = kept.index("text"), kept.index("n_chars") if "n_chars" in kept else None
-    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    kept = rows.columns
+    at = kept.index(text)
+    schema = T.StructType([*rows.schema, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     shared = rows.sparkSession.sparkContext.broadcast(bad)
 
     def run(batches):
@@ -117,10 +132,11 @@ def without(rows: DataFrame, bad: set[bytes]) -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(texts, columns[at].type)
             if size is not None:
-                columns[size] = pa.array([None if t is None else len(t) for t in texts], columns[size].type)
+                i = kept.index(size)
+                columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    return rows.select(*kept).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 ORACLE_SQL = """
