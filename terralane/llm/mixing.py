@@ -48,27 +48,30 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None =
     return counts.select("__source", "__n", "__mean", "__parts", poisson_limits(F.col("__mean") / F.col("__parts")).alias("__limits"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 17, source: str = "source", key: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = 17, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Repeat each document a Poisson number of times, with the mean of its source, and shuffle all copies.
 
-    The number is the inverse of the Poisson distribution at a number hashed from the seed and the document's key, so it
-    neither depends on the partitions nor changes when a task runs again. Rows that repeat a key get equal numbers
-    and are each repeated. Result: all columns of docs, copy (from 1; replaced if docs has it) and position
-    (in [0, 1)): rows are dealt to partitions at random and sorted by position within them, so that sorting by position
-    gives one global shuffle of all rows. A null source is a source named by an empty text; a null key is a key. No
-    documents, or no weights for their sources, give no rows.
+    The number is the inverse of the Poisson distribution at a number hashed from the seed, the document's key and its text,
+    so it neither depends on the partitions nor changes when a task runs again, and rows that repeat a key (or have none) draw
+    each for itself unless they repeat the text too. Result: all columns of docs, copy (from 1; replaced if docs has it)
+    and position (in [0, 1)): rows are dealt to partitions at random and sorted by position within them, so that sorting by
+    position gives one global shuffle of all rows. A null source is a source named by an empty text; a null key is a key,
+    a null text an empty one. No documents, or no weights for their sources, give no rows.
     """
-    docs = docs.drop("copy", "position")
-    table = rates(docs, weights, total, source)
-    rows = docs.withColumn("__source", F.coalesce(F.col(source), F.lit("")))
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    rows = lookup(rows, table, "__source", "__n", docs.count())
-    draw = lambda j: F.size(F.filter("__limits", lambda p: p <= uniform(str(seed), name, j.cast("string"))))
+    own = [i for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "position")]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    at = {c: F.col(names[docs.columns.index(c)]) for c in (source, key, text)}
+    rows = rows.select(*(names[i] for i in own), F.coalesce(at[source], F.lit("")).alias("__source"), F.concat_ws(":", F.coalesce(at[key].cast("string"), F.lit("null")), F.md5(F.coalesce(at[text], F.lit("")))).alias("__name"))
+    rows = lookup(rows, rates(rows, weights, total, "__source"), "__source", "__n", docs.count())
+    draw = lambda j: F.size(F.filter("__limits", lambda p: p <= uniform(str(seed), F.col("__name"), j.cast("string"))))
     # the limits are ascending, so the copies are those that lie up to the draw
     n = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + draw(j))
     rows = rows.withColumn("__copies", n).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    rows = rows.withColumn("position", uniform(f"{seed}-place", name, F.col("copy").cast("string")))
-    return rows.drop("__source", "__n", "__mean", "__parts", "__limits", "__copies").repartition("position").sortWithinPartitions("position")
+    rows = rows.withColumn("position", uniform(f"{seed}-place", F.col("__name"), F.col("copy").cast("string")))
+    # copies of one row stand at one place each; rows that repeat key and text are dealt apart by a number of their own
+    rows = rows.repartition(F.col("position"), F.monotonically_increasing_id()).sortWithinPartitions("position")
+    return rows.select(*(names[i] for i in own), "copy", "position").toDF(*(docs.columns[i] for i in own), "copy", "position")
 
 
 ORACLE_SQL = """
@@ -76,11 +79,11 @@ WITH n AS (SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP
 t AS (SELECT s, n, 1.0::DOUBLE / (SELECT sum(1.0::DOUBLE) FROM n) * (SELECT sum(n) FROM n) / n AS mean FROM n),
 m AS (SELECT s, mean, ceil(mean / 16)::INT AS parts, mean / ceil(mean / 16) AS part_mean FROM t),
 d AS (SELECT doc_id, text, lang, source, n_chars, s, unnest(range(1, parts + 1)) AS j FROM documents JOIN m ON s = coalesce(source, '')),
-u AS (SELECT *, (('0x' || substr(md5('17:' || doc_id || ':' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d),
+u AS (SELECT *, (('0x' || substr(md5('17:' || doc_id || ':' || md5(coalesce(text, '')) || ':' || j), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d),
 p AS (SELECT s, part_mean, i, exp(-part_mean + i * ln(part_mean) - lgamma(i + 1)) AS p FROM m, range(0, 95) r(i)),
 c AS (SELECT s, i, sum(p) OVER (PARTITION BY s ORDER BY i) AS c FROM p),
 l AS (SELECT s, list(c ORDER BY i) AS limits FROM c GROUP BY s),
 k AS (SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(limits, lambda x: x <= u))) AS k FROM u JOIN l USING (s) GROUP BY ALL),
 e AS (SELECT doc_id, text, lang, source, n_chars, unnest(range(1, k::INT + 1))::INT AS copy FROM k WHERE k > 0)
-SELECT doc_id, text, lang, source, n_chars, copy, (('0x' || substr(md5('17-place:' || doc_id || ':' || copy), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS position FROM e
+SELECT doc_id, text, lang, source, n_chars, copy, (('0x' || substr(md5('17-place:' || doc_id || ':' || md5(coalesce(text, '')) || ':' || copy), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS position FROM e
 """

@@ -6,6 +6,7 @@ import re
 
 import pytest
 from fixtures import hard_rows, table
+from pyspark.sql import functions as F
 
 from terralane.llm import line_dedup, mixing
 
@@ -24,6 +25,10 @@ def u(*key):
     return (int(hashlib.md5(":".join(map(str, key)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
 
 
+def md5(t):
+    return hashlib.md5(t.encode()).hexdigest()
+
+
 def test_copies_follow_the_inverse_distribution(spark):
     rows = [(i, f"t{i}", "en", "a" if i % 4 else "b", 2) for i in range(200)] + [(500, "rare", "en", "c", 4), (501, "none", "en", None, 4)]
     weights = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 1.0)], "source string, weight double")
@@ -31,11 +36,11 @@ def test_copies_follow_the_inverse_distribution(spark):
     got = sorted((r.doc_id, r.copy) for r in mixing.mix(docs, weights, total=800).collect())
     want = []
     size = {"a": 150, "b": 50, "c": 1}
-    for i, _, _, s, _ in rows:
+    for i, t, _, s, _ in rows:
         if s:
             mean = {"a": 1, "b": 2, "c": 1}[s] / 4 * 800 / size[s]
             parts = math.ceil(mean / mixing.MEAN_STEP)
-            n = sum(poisson(u(17, i, j), mean / parts) for j in range(1, parts + 1))
+            n = sum(poisson(u(17, i, md5(t), j), mean / parts) for j in range(1, parts + 1))
             want += [(i, c) for c in range(1, n + 1)]
     assert got == sorted(want)
     assert 150 < sum(i == 500 for i, _ in got) < 250
@@ -48,7 +53,7 @@ def test_mix_hard_rows(spark):
     for i, t in rows:
         s = (i or 0) % 3
         n = sum((j or 0) % 3 == s for j, _ in rows)
-        c = poisson(u(17, "null" if i is None else i, 1), len(rows) / 3 / n)
+        c = poisson(u(17, "null" if i is None else i, md5(t or ""), 1), len(rows) / 3 / n)
         want[i, t] = want.get((i, t), 0) + c
     got = {}
     for r in out:
@@ -57,6 +62,37 @@ def test_mix_hard_rows(spark):
     assert mixing.mix(table(spark, [])).collect() == []
 
 
+def test_rows_without_ids_draw_for_themselves(spark):
+    rows = [(None, f"text {i}", "en", "a", 6) for i in range(4000)]
+    assert abs(mixing.mix(table(spark, rows)).count() - 4000) < 200
+
+
+def test_names_of_helper_columns_are_free(spark):
+    rows = [(i, f"own {i}\nboiler", "en", f"s{i % 12}", 0) for i in range(24)]
+    docs = table(spark, rows).withColumnsRenamed({"lang": "__source", "n_chars": "__n"}).withColumns({"a.b`c": F.lit(1), "__row": F.lit(3)})
+    assert mixing.mix(docs).columns == [*docs.columns, "copy", "position"]
+    assert {r["__source"] for r in mixing.mix(docs).collect()} == {"en"}
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert {(r["text"].split()[0], r["__row"], r["n_removed"]) for r in out.collect()} == {("own", 3, 1)}
+
+
+@pytest.mark.parametrize("sent", [line_dedup.SENT_LINES, 0])
+@pytest.mark.parametrize("min_sites", [3, 10])
+def test_line_ends_of_other_kinds_are_text(spark, monkeypatch, sent, min_sites):
+    monkeypatch.setattr(line_dedup, "SENT_LINES", sent)
+    ends = ["\x85", "\u2028", "\u2029", "\x1c", "\x0b", "\r"]
+    rows = [(i, "\n".join([f"own {i}", *(f"shared line{e2}{e}" for e in ends for e2 in (" ", ""))]), "en", f"s{i}" if i else None, 0) for i in range(12)]
+    sites = {}
+    strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    for _, t, _, s, _ in rows:
+        for x in t.split("\n"):
+            sites.setdefault(strip(x), set()).add(s or "")
+    want = sorted((i, "\n".join(x for x in t.split("\n") if len(sites[strip(x)]) < min_sites)) for i, t, *_ in rows)
+    assert sorted((r.doc_id, r.text) for r in line_dedup.line_dedup(table(spark, rows), min_sites=min_sites).collect()) == want
+    assert all(w == f"own {i}" for i, w in want)
+
+
 @pytest.mark.parametrize("sent", [line_dedup.SENT_LINES, 0])
 def test_line_dedup(spark, monkeypatch, sent):
     monkeypatch.setattr(line_dedup, "SENT_LINES", sent)

@@ -64,7 +64,7 @@ def test_against_plain_python(spark):
         mean = len(kept) / len(n) / n[s]
         k, p = 0, math.exp(-mean)
         c = p
-        while c <= u(17, i, 1):
+        while c <= u(17, i, hashlib.md5(t.encode()).hexdigest(), 1):
             k += 1
             p *= mean / k
             c += p
