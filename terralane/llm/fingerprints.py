@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from .common import with_row_id
+from .common import text_key
 
 #: Hashes in a sketch. The standard error of a likeness J is about sqrt(J (1 - J) / K), 0.03 at most.
 K = 256
 #: Words in a shingle.
 SHINGLE = 5
-#: Blocks of consecutive documents that one window partition sorts; each holds about a BLOCKS-th of the rows.
-BLOCKS = 500
+#: Bytes of text that one partition of the ordered documents is planned for, and blocks of consecutive ids in it.
+PARTITION_BYTES = 64 << 20
+BLOCKS = 16
 SPACE = 4294967296.0
 
 
@@ -69,43 +70,46 @@ def merge_sketches(parts: DataFrame, key: str, kept: str = "kept", k: int = K, f
     return rows
 
 
-def with_next(docs: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, text, next_text and the order's columns (guest 1: a copy that only serves as a next document). next_text is the text of the next document in descending doc_id order; after the last comes the first.
+def block_of(cut: list[int]) -> Column:
+    """The number of bounds up to the column `low`: coarse bounds first, then those between two of them."""
+    width = max(1, int(len(cut) ** 0.5))
+    groups = [cut[i : i + width] for i in range(0, len(cut), width)]
+    if not groups:
+        return F.lit(0)
+    below = lambda bounds: F.size(F.filter(bounds, lambda c: c <= F.col("low")))
+    longs = lambda xs: F.array(*(F.lit(x).cast("long") for x in xs))
+    coarse = F.greatest(below(longs(g[0] for g in groups)) - 1, F.lit(0))
+    return coarse * width + below(F.get(F.array(*(longs(g) for g in groups)), coarse))
 
-    Documents are dealt into blocks of consecutive ids at quantiles, and each block also gets the first document of the
-    block below, so that no window crosses a partition. Only ids, at most `blocks` of them, reach the driver.
+
+def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """doc_id, text, the order's columns, and next_text: the text of the next document in descending doc_id order; after the last comes the first. guest 1: a copy that only serves as a next document.
+
+    Documents are dealt into blocks of consecutive ids at quantiles, more of them the more bytes there are, and each block also gets
+    the first document of the block below, so that no window crosses a partition. Only one id per block reaches the
+    driver. Rows of one id stand in the order of their text keys, which no other scan changes.
     """
-    rows = with_row_id(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("at", F.struct("doc_id", "__row"))
-    bounds = rows.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 10_000).alias("p")).first()["p"] or []
-    cut = sorted(set(bounds))
-    rows = rows.withColumn("low", F.coalesce("doc_id", F.lit(-(2**63))))
-
-    def number(lo: int, hi: int) -> Column:
-        """The number of bounds up to the id, by halving."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("low") < cut[mid], number(lo, mid)).otherwise(number(mid + 1, hi))
-
-    block = number(0, len(cut))
-    rows = rows.withColumn("block", block)
-    # the first document of each block, with the block above it that needs it as a guest
-    firsts = sorted((r["block"], r["top"]) for r in rows.select("block", "at").groupBy("block").agg(F.max("at").alias("top")).collect())
-    guests = [(int(firsts[i][1]["__row"]), int(firsts[(i + 1) % len(firsts)][0])) for i in range(len(firsts))]
-    if not guests:
-        return rows.select("doc_id", "text", "__row", F.lit(0).alias("guest"), "block", F.lit("").alias("next_text"))
-    guest = F.create_map(*(F.lit(x) for pair in guests for x in pair))
-    # a guest stands behind all the documents of the block that it visits
-    home = F.struct(F.lit(0).alias("guest"), "block")
-    rows = rows.withColumn("visits", guest[F.col("__row")])
-    places = F.when(F.col("visits").isNull(), F.array(home)).otherwise(F.array(home, F.struct(F.lit(1).alias("guest"), F.col("visits").alias("block"))))
-    rows = rows.select("doc_id", "text", "__row", F.explode(places).alias("p")).select("doc_id", "text", "__row", "p.guest", "p.block")
-    return rows.withColumn("next_text", F.lead("text").over(following()))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("*", text_key(F.col("text")).alias("t"))
+    rows = rows.withColumn("low", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("at", F.struct("low", "t.t1", "t.t2"))
+    if partitions is None:
+        n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_bytes // PARTITION_BYTES)
+    blocks = partitions * BLOCKS
+    cut = sorted(set(rows.select(F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], max(10_000, 4 * blocks)).alias("p")).first()["p"] or []))
+    rows = rows.withColumn("block", block_of(cut))
+    # the first document of each block is a guest in the block above it; of rows that repeat id and text any one is
+    firsts = sorted((r["block"], r["top"]) for r in rows.groupBy("block").agg(F.max("at").alias("top")).collect())
+    visits = [(firsts[(i + 1) % len(firsts)][0], *firsts[i][1]) for i in range(len(firsts))]
+    guests = docs.sparkSession.createDataFrame(visits, "block int, low long, t1 long, t2 long")
+    same = [F.col("x.low") == F.col("y.low"), F.col("x.t.t1") == F.col("y.t1"), F.col("x.t.t2") == F.col("y.t2")]
+    visiting = rows.alias("x").join(F.broadcast(guests).alias("y"), same).select("y.block", "x.doc_id", "x.text", "x.t", "x.low").dropDuplicates(["block"])
+    rows = rows.select(F.lit(0).alias("guest"), "block", "doc_id", "text", "t", "low").unionByName(visiting.withColumn("guest", F.lit(1)))
+    return rows.repartition(partitions, "block").withColumn("next_text", F.lead("text").over(following()))
 
 
 def following() -> WindowSpec:
     """Descending doc_id order within a block, its guest last."""
-    return Window.partitionBy("block").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.col("__row").desc())
+    return Window.partitionBy("block").orderBy("guest", F.col("low").desc(), F.col("t").desc())
 
 
 def fingerprints(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame:
@@ -115,14 +119,14 @@ def fingerprints(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataFrame
     in descending doc_id order (all of them where it is shorter; after the last document comes the first).
     Result, one row per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint (hashes, the smallest
     first), near_edited, near_next, n_shingles, edited_containment. A null text counts as empty; an empty text has an empty
-    fingerprint, and two empty ones are alike (1.0). A null doc_id comes last; rows that repeat a doc_id stand in the order read,
-    the last first. A lone document is its own next one. No rows give no rows. Only doc_id and text are read.
+    fingerprint, and two empty ones are alike (1.0). A null doc_id comes last; rows that repeat a doc_id stand in the
+    descending order of their texts' 128-bit keys. A lone document is its own next one. No rows give no rows. Only doc_id and text are read.
     """
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = with_sketch(with_sketch(rows, "text", "a", k, width), "edited", "e", k, width)
-    rows = rows.select("doc_id", "__row", "guest", "block", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "e")
+    rows = rows.select("doc_id", "low", "t", "guest", "block", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "a", "e")
     rows = rows.withColumn("b", F.lead("a").over(following())).where("guest = 0")
     a, e, b = F.col("a"), F.col("e"), F.col("b")
     return rows.select(

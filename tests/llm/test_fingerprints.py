@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import xxhash
 from fixtures import hard_rows, table
 
 from terralane.llm import fingerprints as fp
@@ -23,10 +24,15 @@ def edited(a, b):
     return a[: len(a) - half] + b[:half]
 
 
+def key(t):
+    """The first half of the text key, as a signed number."""
+    return int.from_bytes(xxhash.xxh64((t or "").encode(), seed=42).intdigest().to_bytes(8), signed=True)
+
+
 def hold(rows, got, most=0.15):
-    order = sorted(enumerate(rows), key=lambda r: (r[1][0] is not None, r[1][0] or 0, r[0]), reverse=True)
-    texts = [t or "" for _, (_, t) in order]
-    want = [(i, t, u) for (_, (i, _)), t, u in zip(order, texts, texts[1:] + texts[:1])]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, key(r[1])), reverse=True)
+    texts = [t or "" for _, t in order]
+    want = [(i, t, u) for (i, _), t, u in zip(order, texts, texts[1:] + texts[:1])]
     got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in got}
     prints = {}
     for i, t, u in want:
