@@ -1,26 +1,27 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A lexicon transducer turns words into symbols: insults and threats with weights learned from labelled documents, and
-targets, negations and words of reported speech. Small context transducers read the symbols of a clause; their
-composition says for each insult or threat whether it is negated, reported or aimed at someone. A document's matched clauses
-are summed by that context, and a logistic model of these sums, learned from labels too, gives the score.
+A lexicon turns words into symbols: insults with weights learned from labelled documents, and threats, targets, negations and
+words of reported speech. Small transducers read the symbols of a clause: one marks insults, one threats against a target, and others
+what stands under a negation, in reported speech or near a target. Their composition reads each clause once; the clause's marks and its
+heaviest insult make it a match of one kind. A document's matched clauses are summed by kind, and a logistic model of these sums, learned from
+labels too, gives the score.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import free, stored
 from .fingerprints import with_sketch
 
-#: Labelled documents that the model is fit on at most: those whose ids hash lowest.
+#: Labelled documents that the model is fit on at most: those whose ids hash lowest. They bound the lexicon too.
 MAX_TRAIN = 20_000
-#: Entries of the learned lexicon at most.
-MAX_LEXICON = 20_000
 #: Words count for the lexicon when so many toxic documents have them.
 MIN_SUPPORT = 5
 #: Lower end of a word's log odds ratio from which it is an insult.
@@ -72,10 +73,15 @@ class Transducer:
         return Transducer(moves, other, marks)
 
 
+def just(symbol: int, mark: int) -> Transducer:
+    """Marks the symbol itself."""
+    return Transducer({(s, symbol): 1 for s in (0, 1)}, {0: 0, 1: 0}, {0: 0, 1: mark})
+
+
 def within(symbol: int, reach: int, mark: int) -> Transducer:
     """Marks what follows a symbol within `reach` words."""
-    states = range(reach + 1)
-    return Transducer({(s, symbol): reach for s in states}, {s: max(0, s - 1) for s in states}, {s: mark if s else 0 for s in states})
+    states = range(reach + 2)
+    return Transducer({(s, symbol): reach + 1 for s in states}, {s: max(0, s - 1) for s in states}, {s: mark if s else 0 for s in states})
 
 
 def since(symbol: int, mark: int) -> Transducer:
@@ -83,10 +89,23 @@ def since(symbol: int, mark: int) -> Transducer:
     return Transducer({(s, symbol): 1 for s in (0, 1)}, {0: 0, 1: 1}, {0: 0, 1: mark})
 
 
-NEGATED, REPORTED, AIMED = 1, 2, 4
+def followed(first: int, then: int, reach: int, mark: int) -> Transducer:
+    """Marks the second symbol where the first stands at most `reach` words before it."""
+    hit = reach + 2
+    states = range(reach + 3)
+    moves = {(s, first): reach + 1 for s in states} | {(s, then): hit for s in states if 1 < s < hit} | {(s, then): 0 for s in (0, 1, hit)}
+    return Transducer(moves, {s: 0 if s in (0, hit) else s - 1 for s in states}, {s: mark if s == hit else 0 for s in states})
+
+
+NEGATED, REPORTED, AIMED, INSULTED, THREATENED, AT_TARGET = (1 << i for i in range(6))
+INSULTS = just(INSULT, INSULTED)
+#: A threat with its target behind it, or (with AIMED) before it.
+THREAT_RULE = just(THREAT, THREATENED).compose(followed(THREAT, TARGET, NEAR, AT_TARGET))
 CONTEXT = within(NEGATION, NEAR, NEGATED).compose(since(REPORT, REPORTED)).compose(within(TARGET, NEAR, AIMED))
-#: Sums of a document: insults by context, threats, and shares of its clauses.
+GRAMMAR = INSULTS.compose(THREAT_RULE).compose(CONTEXT)
+#: Sums of a document's clauses by kind, the share of its clauses that match, and the heaviest one.
 FIELDS = ["plain", "negated", "reported", "aimed", "threats", "share", "most"]
+CACHE_TOKENS = 1_000_000
 
 
 def word_of(token: str) -> str:
@@ -100,52 +119,77 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class Grammar:
-    """The lexicon with the composed context transducer."""
+    """The lexicon with the composed transducer."""
 
     weights: dict[str, float]
     fixed: dict[str, int] = field(default_factory=lambda: {w: s for s, words in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (THREAT, THREATS)) for w in words})
     cache: dict[str, tuple[int, float, bool]] = field(default_factory=dict)
+    #: Tokens met so far that are insults or threats.
+    hot: set[str] = field(default_factory=set)
+
+    def __post_init__(self):
+        self.starts = {f[1:4] for f in self.weights}
 
     def symbol(self, token: str) -> tuple[int, float, bool]:
         """Symbol, weight, and whether the clause ends behind the token."""
-        found = self.cache.get(token)
-        if found is None:
-            word = word_of(token)
-            weight = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0)
-            kind = INSULT if weight else self.fixed.get(word, OTHER)
-            found = (kind, weight, CLAUSE_END.search(token) is not None)
-            if len(token) <= 64:
-                if len(self.cache) >= 1_000_000:
-                    self.cache.clear()
-                self.cache[token] = found
-        return found
+        word = word_of(token)
+        weight = max((self.weights.get(f, 0.0) for f in features_of(word)), default=0.0) if word[:3] in self.starts else 0.0
+        kind = INSULT if weight else self.fixed.get(word, OTHER)
+        return kind, weight, CLAUSE_END.search(token) is not None
+
+    def learn(self, tokens: list[str]) -> None:
+        new = set(tokens) - self.cache.keys()
+        if len(self.cache) + len(new) > CACHE_TOKENS:
+            self.cache = dict(itertools.islice(self.cache.items(), CACHE_TOKENS // 2))
+            self.hot &= self.cache.keys()
+            new = set(tokens) - self.cache.keys()
+        for t in new:
+            self.cache[t] = found = self.symbol(t)
+            if found[0] <= THREAT:
+                self.hot.add(t)
 
     def sums(self, text: str) -> list[float]:
         """FIELDS of a text."""
-        symbols = list(map(self.symbol, text.split()))
+        tokens = text.split()
+        self.learn(tokens)
         out = dict.fromkeys(FIELDS, 0.0)
-        if any(s[0] <= THREAT for s in symbols):
-            state, clauses, matched, clause = CONTEXT.start, 1, 0, 0.0
-            for kind, weight, ends in symbols:
-                if kind <= THREAT:
-                    mark = CONTEXT.marks[state]
-                    if kind == THREAT:
-                        if mark & AIMED and not mark & (NEGATED | REPORTED):
-                            out["threats"] += 1.0
-                            clause += 1.0
-                    else:
-                        out["negated" if mark & NEGATED else "reported" if mark & REPORTED else "plain"] += weight
-                        clause += weight
-                        if mark & AIMED:
-                            out["aimed"] += weight
-                state = CONTEXT.step(state, kind)
-                if ends:
-                    matched, out["most"] = matched + (clause > 0), max(out["most"], clause)
-                    state, clause, clauses = CONTEXT.start, 0.0, clauses + 1
-            matched, out["most"] = matched + (clause > 0), max(out["most"], clause)
+        if not self.hot.isdisjoint(tokens):
+            clauses = matched = 0
+            for insult, threat, seen, ends in self.clauses(tokens):
+                clauses += ends
+                weight = 0.0
+                if insult:
+                    weight = insult
+                    out["negated" if seen & NEGATED else "reported" if seen & REPORTED else "plain"] += insult
+                    if seen & AIMED:
+                        out["aimed"] += insult
+                if threat:
+                    weight += 1.0
+                    out["threats"] += 1.0
+                matched += weight > 0
+                out["most"] = max(out["most"], weight)
             out["share"] = matched / clauses
         return [math.log1p(v) if k != "share" else v for k, v in out.items()]
 
+    def clauses(self, tokens: list[str]):
+        """(weight of the clause's insults, whether it threatens, the marks at its heaviest insult, 1) of each clause."""
+        state, insult, top, threat, seen, any_word = GRAMMAR.start, 0.0, 0.0, False, 0, False
+        for kind, weight, ends in map(self.cache.__getitem__, tokens):
+            state = GRAMMAR.step(state, kind)
+            mark = GRAMMAR.marks[state]
+            any_word = True
+            if mark & INSULTED:
+                insult += weight
+                if weight > top:
+                    top, seen = weight, mark
+            if not mark & (NEGATED | REPORTED) and (mark & AT_TARGET or (mark & THREATENED and mark & AIMED)):
+                threat = True
+            if ends:
+                yield insult, threat, seen, 1
+                state, insult, top, threat, seen, any_word = GRAMMAR.start, 0.0, 0.0, False, 0, False
+        if any_word:
+            yield insult, threat, seen, 1
+
 
 @dataclass
 class Model:
@@ -163,54 +207,56 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(True))
 
 
-def learn_weights(sample: DataFrame) -> dict[str, float]:
-    """Lower ends of the log odds ratios of words and stems between toxic and other documents, the largest MAX_LEXICON.
+def weights_of(counts: DataFrame, t: str, c: str) -> dict[str, float]:
+    """Lower ends of the log odds ratios of words and stems between toxic (t) and other (c) documents, from MIN_WEIGHT on."""
+    sums = counts.where("feature = ''").select(F.expr(t).alias("t"), F.expr(c).alias("c")).first()
+    if sums is None or not sums["t"]:
+        return {}
+    found = counts.where("feature <> ''").select("feature", F.expr(t).alias("t"), F.expr(c).alias("c"))
+    odds = F.log((F.col("t") + 0.5) / (sums["t"] + 1)) - F.log((F.col("c") + 0.5) / (sums["c"] + 1))
+    low = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
+    return {r["feature"]: r["w"] for r in found.where(F.col("t") >= MIN_SUPPORT).select("feature", low.alias("w")).where(F.col("w") >= MIN_WEIGHT).collect()}
+
 
-    Of documents with the same least three-word shingle, which copies have, one counts.
-    """
-    once = with_sketch(sample, "text", "sketch", k=1, width=3).dropDuplicates(["sketch"])
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, t0, c0, t1, c1): the toxic and other documents of each half that have a word or stem; feature '' counts them all."""
 
     def counted(batches):
         counts: dict[str, list[int]] = {}
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = {""}
                 for word in {word_of(t) for t in text.split()}:
                     found.update(features_of(word))
+                at = 2 * half + (1 - toxic)
                 for f in found:
-                    counts.setdefault(f, [0, 0])[toxic] += 1
+                    counts.setdefault(f, [0, 0, 0, 0])[at] += 1
         # a stem without a toxic document in this task can still have clean ones that count elsewhere
-        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["feature", "t", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(4))], ["feature", "t0", "c0", "t1", "c1"])
 
-    counts = once.select("text", "toxic").mapInArrow(counted, "feature string, t long, c long").groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    sums = counts.where("feature = ''").first()
-    if sums is None or not sums["t"]:
-        return {}
-    odds = F.log((F.col("t") + 0.5) / (sums["t"] + 1)) - F.log((F.col("c") + 0.5) / (sums["c"] + 1))
-    low = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counts.where(F.col("feature") != "").where(F.col("t") >= MIN_SUPPORT).withColumn("w", low).where(F.col("w") >= MIN_WEIGHT).orderBy(F.desc("w"), "feature").limit(MAX_LEXICON)
-    return {r["feature"]: r["w"] for r in best.select("feature", "w").collect()}
+    parts = sample.select("text", "toxic", "half").mapInArrow(counted, "feature string, t0 long, c0 long, t1 long, c1 long")
+    return parts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
 
 
-def with_sums(docs: DataFrame, weights: dict[str, float], columns: list[str]) -> DataFrame:
-    """The columns with sums array<double> of `text`."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema) + ", sums array<double>"
+def half_sums(sample: DataFrame, weights: tuple[dict, dict]) -> DataFrame:
+    """(toxic, sums array<double>) of the sample, each row under the lexicon of the other half."""
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        grammar = Grammar(shared.value)
+        grammars = [Grammar(w) for w in shared.value]
         for batch in batches:
-            sums = [grammar.sums(t) for t in batch.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.list_(pa.float64()))], [*columns, "sums"])
+            sums = [grammars[1 - half].sums(t) for t, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.list_(pa.float64()))], ["toxic", "sums"])
 
-    return docs.select(*columns, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return sample.select("text", "toxic", "half").mapInArrow(run, "toxic int, sums array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labels.toxic of rows that aren't held out; the scores are fit on sums under the other half's lexicon.
 
     Labels without a document, null labels and null ids count for nothing; of several labels of one id the highest counts, and of
-    several documents of one id any one. Without toxic or without other documents all scores are the share of toxic ones.
+    several documents of one id any one. Of the sampled documents whose four least three-word shingles agree, which near copies'
+    do, one counts, with the highest label. Without toxic or without other documents all scores are the share of toxic ones.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -218,19 +264,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where(~held_out()).where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sample = sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))).persist()
-    weights = learn_weights(sample)
-    # the scores are learned from sums under a lexicon that has not seen the document
-    halves = [with_sums(sample.where(F.col("half") == h), learn_weights(sample.where(F.col("half") != h)), ["toxic"]) for h in (0, 1)]
-    rows = halves[0].unionByName(halves[1]).persist()
+    # copies are in one half
+    sample = with_sketch(sample, "text", "sketch", k=4, width=3).withColumn("half", F.pmod(F.xxhash64("sketch"), F.lit(2)).cast("int"))
+    once = stored(sample.groupBy("sketch", "half").agg(F.min_by("text", "doc_id").alias("text"), F.max("toxic").alias("toxic")).drop("sketch"), "sample")
+    counts = stored(feature_counts(once), "counts")
+    weights, *halves = (weights_of(counts, t, c) for t, c in (("t0 + t1", "c0 + c1"), ("t0", "c0"), ("t1", "c1")))
+    rows = stored(half_sums(once, tuple(halves)), "sums")
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
         model = Model(weights, [0.0] * len(FIELDS), math.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5)))
     else:
         fit = LogisticRegression(labelCol="toxic", regParam=1e-3, maxIter=50).fit(rows.select("toxic", array_to_vector("sums").alias("features")))
         model = Model(weights, list(map(float, fit.coefficients)), float(fit.intercept))
-    rows.unpersist()
-    sample.unpersist()
+    free(once, counts, rows)
     return model
 
 
@@ -239,9 +285,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text counts as empty, and an empty text gets the score of one without matches. Every row gives one row; no rows none.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    own = [i for i, c in enumerate(docs.columns) if c.lower() not in ("score", "predicted")]
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = F.coalesce(F.col(names[docs.columns.index("text")]), F.lit("")).alias("text")
+    rows = rows.select(*(names[i] for i in own), text)
+    kept = rows.columns[:-1]
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double, predicted int"
 
     def run(batches):
         model = shared.value
@@ -250,7 +301,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(grammar.sums(t)) for t in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*kept, "score", "predicted"])
 
-    return docs.select(*kept, F.coalesce("text", F.lit("")).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*(docs.columns[i] for i in own), "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
