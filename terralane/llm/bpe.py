@@ -132,7 +132,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ids array<int>, n_tokens, decoded string, ids_sha256 and decoded_sha256 to documents.
 
     The ids are those of the tokenizers library for the file at `path` with add_special_tokens=False, unused
-    truncation and padding, and decoded is its decode(ids, skip_special_tokens=False). A null or empty text has no
+    truncation and padding, and decoded is its decode(ids, skip_special_tokens=False). A file whose tokens don't end at white
+    space is refused with an error. A null or empty text has no
     ids and decodes to an empty text. Every row gives one row, repeated rows too; other columns stay, and
     columns of the input with a name of the result are replaced. No rows give no rows.
     """
