@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from .shingles import U, mixed
 
 #: Hashes that a task compares among themselves before it sends them, and that a bucket is planned to hold.
-HELD = 2_000_000
+HELD, BUCKET = 2_000_000, 500_000
 #: Stands for "some set, and another one too" in place of an id or a tag.
 NONE = -(1 << 63)
 #: Rows between the two halves of an exchange: blobs of one bucket, or counts; more fields may follow, of rows that only pass.
@@ -19,6 +19,10 @@ FIELDS = {"bucket": pa.int32(), "keys": pa.binary(), "ids": pa.binary(), "tags":
 SCHEMA = "bucket int, keys binary, ids binary, tags binary, met binary"
 
 
+def buckets_for(elements: float) -> int:
+    return 1 + int(elements // BUCKET)
+
+
 def rows_of(fields: dict, **columns) -> pa.RecordBatch:
     """Rows with the given columns; the others are null."""
     n = len(next(iter(columns.values())))

@@ -506,13 +506,11 @@ def linked_sets(docs: DataFrame, width: int, share: float | str) -> tuple[DataFr
     docs: (doc_id, text). The class is the digest of one of the sets that are reachable by links.
     """
     rule = Linking(*Fraction(str(share)).as_integer_ratio())
-    spark = docs.sparkSession
     raw = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     raw = raw.select("doc_id", text_key(F.col("text")).alias("t"), F.col("text").cast("binary").alias("text"))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_bytes = raw.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # a word has about six bytes, and a bucket is planned for HELD elements
-    buckets = max(least, int(n_bytes / 6 * float(rule.sampled(np.int64(1 << 40))) / evidence.HELD))
+    # a word has about six bytes
+    buckets = evidence.buckets_for(n_bytes / 6 * float(rule.sampled(np.int64(1 << 40))))
     found = stored(sets_with_evidence(raw, width, rule, buckets), "sets")
     rows = found.where("n is not null").select("doc_id", "t1", "t2", "n", "digest")
     met = evidence.summed(found.where("met is not null"), buckets)
@@ -522,7 +520,7 @@ def linked_sets(docs: DataFrame, width: int, share: float | str) -> tuple[DataFr
     near = groups.join(met, "id", "left").where(enough("met", "looked", rule)).select("digest", "n", "t.at", "t.t1", "t.t2")
     texts = raw.select(at, "t.t1", "t.t2", "text").join(near, ["at", "t1", "t2"]).dropDuplicates(["at", "t1", "t2"])
     sets = stored(texts.select(F.monotonically_increasing_id().alias("row"), "digest", "n", "text"), "texts")
-    buckets = max(least, (sets.agg(F.sum("n")).first()[0] or 0) // evidence.HELD)
+    buckets = evidence.buckets_for(sets.agg(F.sum("n")).first()[0] or 0)
     met = elements_elsewhere(sets.select("row", F.col("row").alias("tag"), F.lit(0).cast("long").alias("space"), "text"), width, buckets)
     near = stored(sets.select("row", "n").join(met, "row").where(enough("met", "n", rule)).select("row"), "near")
     keys = stored(chained_keys(sets.join(near, "row"), width, rule), "keys")
