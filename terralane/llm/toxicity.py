@@ -138,11 +138,11 @@ class Grammar:
         return kind, weight, CLAUSE_END.search(token) is not None
 
     def learn(self, tokens: list[str]) -> None:
-        new = set(tokens) - self.cache.keys()
+        new = set(tokens).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_TOKENS:
             self.cache = dict(itertools.islice(self.cache.items(), CACHE_TOKENS // 2))
             self.hot &= self.cache.keys()
-            new = set(tokens) - self.cache.keys()
+            new = set(tokens).difference(self.cache)
         for t in new:
             self.cache[t] = found = self.symbol(t)
             if found[0] <= THREAT:
