@@ -34,13 +34,13 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     text and doc_id the last one read stays. No rows give no rows. Only doc_id and text are read.
     """
     text = lower_ascii(F.coalesce(F.col("text"), F.lit("")))
-    leaves = docs.rdd.getNumPartitions()
     base = stored(
         with_row_id(docs.select("doc_id", "text")).select(
             "doc_id", "__row", F.spark_partition_id().alias("node"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")
         ),
         "digests",
     )
+    leaves = (base.agg(F.max("node")).first()[0] or 0) + 1
     runs = base.select("node", "digest", "n_bytes", F.struct("doc_id", "__row").alias("best"), F.lit(1).cast("long").alias("group_size"))
     groups = merge_runs(runs, leaves).select("digest", "best", "group_size")
     return lookup(base.select("doc_id", "__row", "digest"), groups, "digest", "group_size", base.count()).select(
