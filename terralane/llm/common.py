@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.scratch import free, shared_dir, stored  # noqa: F401
@@ -22,6 +26,19 @@ def text_key(text: Column) -> Column:
     return F.struct(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"))
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, after which the worker gives its freed memory back: Spark keeps it for later tasks and stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, or a longer one where df has a column of that name (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidy
 from .shingles import U, mixed
 
 #: Hashes that a task compares among themselves before it sends them, and that a bucket is planned to hold.
@@ -89,7 +90,7 @@ def met(rows: DataFrame, buckets: int, kept: dict | None = None, kept_schema: st
             _, i, _, several = compared(*(np.concatenate(x) for x in (keys, ids, tags)))
             yield counted(i[several], buckets, fields)
 
-    return rows.repartitionById(buckets, "bucket").mapInArrow(run, f"{kept_schema}bucket int, ids binary, met binary")
+    return rows.repartitionById(buckets, "bucket").mapInArrow(tidy(run), f"{kept_schema}bucket int, ids binary, met binary")
 
 
 def summed(blobs: DataFrame, buckets: int) -> DataFrame:
@@ -105,4 +106,4 @@ def summed(blobs: DataFrame, buckets: int) -> DataFrame:
         np.add.at(total, at, np.concatenate(n))
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(total)], ["id", "met"])
 
-    return blobs.select("bucket", "ids", "met").repartitionById(buckets, "bucket").mapInArrow(run, "id long, met long")
+    return blobs.select("bucket", "ids", "met").repartitionById(buckets, "bucket").mapInArrow(tidy(run), "id long, met long")

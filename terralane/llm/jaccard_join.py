@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
 from . import evidence
-from .common import free, lookup, stored, text_key
+from .common import free, lookup, stored, text_key, tidy
 from .evidence import rows_of
 from .pieces import slices
 from .shingles import U, mixed, shingle_sets
@@ -163,7 +163,7 @@ def sets_with_evidence(docs: DataFrame, width: int, rule: Linking, buckets: int)
         if keys:
             yield from evidence.sent(np.concatenate(keys), np.concatenate(ids), None, buckets, fields)
 
-    raw = docs.select("doc_id", "t.t1", "t.t2", "text").mapInArrow(run, SETS_SCHEMA + evidence.SCHEMA)
+    raw = docs.select("doc_id", "t.t1", "t.t2", "text").mapInArrow(tidy(run), SETS_SCHEMA + evidence.SCHEMA)
     return evidence.met(raw, buckets, SETS, SETS_SCHEMA)
 
 
@@ -186,7 +186,7 @@ def elements_elsewhere(sets: DataFrame, width: int, buckets: int) -> DataFrame:
         if keys:
             yield from evidence.sent(*map(np.concatenate, (keys, ids, tags)), buckets, evidence.FIELDS)
 
-    found = evidence.met(sets.select("row", "tag", "space", "text").mapInArrow(run, evidence.SCHEMA), buckets)
+    found = evidence.met(sets.select("row", "tag", "space", "text").mapInArrow(tidy(run), evidence.SCHEMA), buckets)
     return evidence.summed(found, buckets).withColumnRenamed("id", "row")
 
 
@@ -234,7 +234,7 @@ def chained_keys(sets: DataFrame, width: int, rule: Linking) -> DataFrame:
         if keys:
             yield from flush()
 
-    return sets.select("row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in fields))
+    return sets.select("row", "text").mapInArrow(tidy(run), ", ".join(f"{c} long" for c in fields))
 
 
 # ---- 3. trees
@@ -374,7 +374,7 @@ def tree_links(units: DataFrame, width: int, rule: Linking) -> DataFrame:
             yield rows_of({"a": pa.int64(), "b": pa.int64()}, **dict(zip("ab", zip(*found))))
 
     rows = units.select("unit", "side", "row", "comp", "text").repartition("unit").sortWithinPartitions("unit", "side")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def nodes_linked(sets: DataFrame, members: DataFrame, width: int, rule: Linking) -> DataFrame:
@@ -409,7 +409,7 @@ def node_rows(sets: DataFrame, width: int) -> DataFrame:
                 columns = [n, n, lost, comps[lo:hi], comps[lo:hi], [m.tobytes() for m in maps]]
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:4]), *(pa.array(c, k) for c, k in zip(columns, NODES.values()))], [*PLACE, *NODES])
 
-    return sets.select(*PLACE, "comp", F.col("text")).mapInArrow(run, "tree long, rest int, band int, cut long, lo long, hi long, lost long, c_lo long, c_hi long, bits binary")
+    return sets.select(*PLACE, "comp", F.col("text")).mapInArrow(tidy(run), "tree long, rest int, band int, cut long, lo long, hi long, lost long, c_lo long, c_hi long, bits binary")
 
 
 def or_combined(nodes: DataFrame) -> DataFrame:
@@ -434,7 +434,7 @@ def or_combined(nodes: DataFrame) -> DataFrame:
         if now is not None:
             yield from out()
 
-    return nodes.select(*PLACE, *NODES).repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(run, nodes.select(*PLACE, *NODES).schema)
+    return nodes.select(*PLACE, *NODES).repartition(*PLACE).sortWithinPartitions(*PLACE).mapInArrow(tidy(run), nodes.select(*PLACE, *NODES).schema)
 
 
 def node_pairs(pairs: DataFrame, rule: Linking) -> DataFrame:
@@ -451,7 +451,7 @@ def node_pairs(pairs: DataFrame, rule: Linking) -> DataFrame:
             near = pa.array([not x.apart(y, rule) for x, y in zip(*ends)], pa.bool_())
             yield b.select(place).filter(near)
 
-    return flat.mapInArrow(run, flat.select(*place).schema)
+    return flat.mapInArrow(tidy(run), flat.select(*place).schema)
 
 
 def tall_links(sets: DataFrame, tall: DataFrame, width: int, rule: Linking, buckets: int) -> DataFrame | None:

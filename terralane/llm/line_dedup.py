@@ -7,7 +7,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import lookup, lower_ascii, stored, text_key
+from .common import lookup, lower_ascii, stored, text_key, tidy
 
 #: A line is boilerplate when at least so many distinct sites have it.
 MIN_SITES = 10
@@ -136,7 +136,7 @@ def without(rows: DataFrame, text: str, size: str | None, bad: set[bytes]) -> Da
                 columns[i] = pa.array([None if t is None else len(t) for t in texts], columns[i].type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*kept, "n_lines", "n_removed"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 ORACLE_SQL = """

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import free, stored
+from .common import free, stored, tidy
 from .fingerprints import with_sketch
 
 #: Labelled documents that the model is fit on at most: those whose ids hash lowest. They bound the lexicon too.
@@ -234,7 +234,7 @@ def feature_counts(sample: DataFrame) -> DataFrame:
         # a stem without a toxic document in this task can still have clean ones that count elsewhere
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array([c[i] for c in counts.values()], pa.int64()) for i in range(4))], ["feature", "t0", "c0", "t1", "c1"])
 
-    parts = sample.select("text", "toxic", "half").mapInArrow(counted, "feature string, t0 long, c0 long, t1 long, c1 long")
+    parts = sample.select("text", "toxic", "half").mapInArrow(tidy(counted), "feature string, t0 long, c0 long, t1 long, c1 long")
     return parts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")))
 
 
@@ -248,7 +248,7 @@ def half_sums(sample: DataFrame, weights: tuple[dict, dict]) -> DataFrame:
             sums = [grammars[1 - half].sums(t) for t, half in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(sums, pa.list_(pa.float64()))], ["toxic", "sums"])
 
-    return sample.select("text", "toxic", "half").mapInArrow(run, "toxic int, sums array<double>")
+    return sample.select("text", "toxic", "half").mapInArrow(tidy(run), "toxic int, sums array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -301,7 +301,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = [model.score(grammar.sums(t)) for t in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [*kept, "score", "predicted"])
 
-    return rows.mapInArrow(run, schema).toDF(*(docs.columns[i] for i in own), "score", "predicted")
+    return rows.mapInArrow(tidy(run), schema).toDF(*(docs.columns[i] for i in own), "score", "predicted")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
