@@ -16,6 +16,8 @@ CHUNK_BITS = 9
 SHARED_CHUNKS = 16_384
 #: A longer chunk is never put into the table.
 SHARED_BYTES = 4096
+#: Pieces kept in a worker's cache, besides the shared chunks and the decoded texts of a batch.
+CACHE_PIECES = 300_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -116,7 +118,7 @@ def shared_chunks(docs: DataFrame, path: str, text: str = "text") -> dict[bytes,
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in (zip(*rows) if rows else ((), ()))], ["digest", "chunk"])
 
     def encoded(batches):
-        enc = encoder(path)
+        enc = encoder(path, CACHE_PIECES)
         for batch in batches:
             parts = [(d, split(c)) for d, c in zip(*(x.to_pylist() for x in batch.columns))]
             kept = [(d, p) for d, p in parts if p is not None]
@@ -155,7 +157,7 @@ def _encode(docs: DataFrame, path: str, text: str, want: list[str]) -> DataFrame
     schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, FIELDS[c][0]) for c in want)])
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, CACHE_PIECES)
         for batch in batches:
             texts = batch.column(len(kept)).to_pylist()
             for a, b in slices([len(t or b"") for t in texts]):

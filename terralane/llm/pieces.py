@@ -41,7 +41,7 @@ class PieceEncoder:
     normaliser and pre-tokenizer. The library's BPE then encodes all new words at once.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -62,6 +62,7 @@ class PieceEncoder:
         # the names that the byte-level vocabulary gives to bytes: printable ones their own, the others those from U+0100 on
         own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         self.byte_names = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.most = most
         self.cache: dict[bytes, bytes] = {}
 
     @staticmethod
@@ -85,8 +86,8 @@ class PieceEncoder:
     def learn(self, pieces: set[bytes]) -> None:
         """Put the ids of all the pieces into the cache."""
         new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
-            self.cache = dict(itertools.islice(self.cache.items(), CACHE_PIECES // 2))
+        if len(self.cache) + len(new) > self.most:
+            self.cache = dict(itertools.islice(self.cache.items(), self.most // 2))
             new = [p for p in pieces if p not in self.cache]
         cut = [self.words(p.decode()) for p in new]
         flat = [w for ws in cut if ws for w in ws]
@@ -129,14 +130,14 @@ class PieceEncoder:
         return b" ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def encoder(path: str, most: int = CACHE_PIECES) -> PieceEncoder:
+    """The worker's encoder for a tokenizer file, with a cache of `most` pieces."""
+    if (path, most) not in _encoders:
+        _encoders[path, most] = PieceEncoder(path, most)
+    return _encoders[path, most]
 
 
 def slices(sizes: list[int], most: int = 1 << 21):
