@@ -12,7 +12,7 @@ from .common import tidy
 from .shingles import U, mixed
 
 #: Hashes that a task compares among themselves before it sends them, and that a bucket is planned to hold.
-HELD, BUCKET = 2_000_000, 500_000
+HELD, BUCKET = 1_000_000, 500_000
 #: Stands for "some set, and another one too" in place of an id or a tag.
 NONE = -(1 << 63)
 #: Rows between the two halves of an exchange: blobs of one bucket, or counts; more fields may follow, of rows that only pass.
