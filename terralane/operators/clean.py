@@ -212,3 +212,32 @@ def crossing_audit(paths: DataFrame, nodes: DataFrame, edges: DataFrame, side: f
     rows = rows.withColumns({"kind": kind, "x": x, "y": y}).join(components(nodes, edges).select(SCENE, F.col("id").alias("u"), "component"), [SCENE, "u"])
     first = rows.groupBy(SCENE, "a", "b", "component", "x", "y").agg(F.min(F.struct("u", "v", "position", "kind")).alias("m"))
     return first.select(SCENE, "a", "b", "m.u", "m.v", "component", "x", "y", "m.position", "m.kind")
+
+
+def corridor_support(edges: DataFrame, cells: DataFrame, radius: int = 5, least: int = 16, low: float = 0.1, by: Sequence[str] = (SCENE,), value: str = "value") -> DataFrame:
+    """(*by, u, v, distance, line_*, corridor_*) of straight edges (*by, u, v, x0, y0, x1, y1): mean, median, p10, ratios over 0.1, 0.2 and 0.5, longest gap.
+
+    The corridor's value at a sample is the largest on the normal up to `radius` cells to both sides. Samples beyond the frame take
+    the border's cell; one without a cell counts as 0. A gap is a run of samples under `low`: its samples, share and length.
+    """
+    length = geom.distance("x0", "y0", "x1", "y1")
+    frame = cells.groupBy(*by).agg(F.max("x").alias("__mx"), F.max("y").alias("__my"))
+    e = edges.select(*by, "u", "v", "x0", "y0", "x1", "y1").withColumn("distance", length).join(frame, [*by], "left").fillna({"__mx": 0, "__my": 0})
+    e = e.withColumn("n", F.greatest(F.lit(least - 1), F.ceil("distance")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    e = e.withColumn("o", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
+    unit = lambda d: F.when(F.col("distance") > 1e-8, d / F.col("distance")).otherwise(0.0)
+    at = lambda c, normal: F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("k") / F.col("n") + F.col("o") * normal
+    cell = lambda c, normal: F.rint(F.least(F.col(f"__m{c}").cast("double"), F.greatest(F.lit(0.0), at(c, normal)))).cast("long")
+    s = e.withColumn("x", cell("x", unit(F.col("y0") - F.col("y1")))).withColumn("y", cell("y", unit(F.col("x1") - F.col("x0"))))
+    s = s.join(cells.select(*by, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).alias("__v")), [*by, "x", "y"], "left").fillna({"__v": 0.0})
+    s = s.groupBy(*by, "u", "v", "distance", "k").agg(F.max(F.when(F.col("o") == 0, F.col("__v"))).alias("line"), F.max("__v").alias("corridor"))
+    parts = []
+    for c in ("line", "corridor"):
+        parts += [F.avg(c).alias(f"{c}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}_median"), F.percentile(c, F.lit(0.1)).alias(f"{c}_p10")]
+        parts += [F.avg((F.col(c) > t).cast("int")).alias(f"{c}_over_{n}") for t, n in ((0.1, "01"), (0.2, "02"), (0.5, "05"))]
+    low_at = F.struct("k", (F.col("line") < low).alias("line"), (F.col("corridor") < low).alias("corridor"))
+    out = s.groupBy(*by, "u", "v", "distance").agg(F.count(F.lit(1)).alias("samples"), *parts, F.array_sort(F.collect_list(low_at)).alias("__low"))
+    for c in ("line", "corridor"):
+        run = geom.longest_run(F.col("__low")[c])
+        out = out.withColumn(f"{c}_gap_samples", run).withColumn(f"{c}_gap", F.col(f"{c}_gap_samples") / F.col("samples")).withColumn(f"{c}_gap_px", F.col(f"{c}_gap") * F.col("distance"))
+    return out.drop("__low")

@@ -165,3 +165,76 @@ def gap_candidates(nodes: DataFrame, edges: DataFrame, low: float = 20.0, high:
     vx, vy = F.col("x_b") - F.col("x_a"), F.col("y_b") - F.col("y_a")
     rows = rows.withColumn("turn_a", geom.directed_angle("dx_a", "dy_a", vx, vy)).withColumn("turn_b", geom.directed_angle("dx_b", "dy_b", -vx, -vy))
     return rows.where((F.col("turn_a") <= angle) & (F.col("turn_b") <= angle)).select(SCENE, F.col("id_a").alias("a"), F.col("id_b").alias("b"), "distance", "turn_a", "turn_b")
+
+
+def endpoint_tangents(nodes: DataFrame, edges: DataFrame, look_back: float = 30.0) -> DataFrame:
+    """(scene, id, tx, ty, points): unit vector out of the graph at each endpoint, the main direction of the points up to look_back along its chain."""
+    from .clean import chain_ends, chains
+    from .routing import route_geometry
+
+    ends = chain_ends(chains(nodes, edges), nodes, edges)
+    first, last = F.col("path")[0], F.element_at("path", -1)
+    ways = ends.where("d_first = 1").select(SCENE, first.alias("id"), "path").unionByName(ends.where("d_last = 1").select(SCENE, last.alias("id"), F.reverse("path").alias("path")))
+    line = route_geometry(ways, nodes, edges)
+    line = line.withColumn("line", geom.sliced(F.col("polyline"), F.lit(0.0), F.least(F.lit(float(look_back)), F.col("length"))))
+    n = F.size("line")
+    mean = lambda f: F.aggregate("line", F.lit(0.0), lambda acc, p: acc + f(p)) / n
+    line = line.withColumn("mx", mean(lambda p: p["x"])).withColumn("my", mean(lambda p: p["y"]))
+    dx, dy = lambda p: p["x"] - F.col("mx"), lambda p: p["y"] - F.col("my")
+    angle = geom.principal_angle(mean(lambda p: dx(p) * dx(p)), mean(lambda p: dx(p) * dy(p)), mean(lambda p: dy(p) * dy(p)))
+    line = line.withColumn("a", angle)
+    start, stop = F.get("line", F.lit(0)), F.element_at("line", -1)
+    out = F.when(F.cos("a") * (start["x"] - stop["x"]) + F.sin("a") * (start["y"] - stop["y"]) < 0, -1.0).otherwise(1.0)
+    return line.select(SCENE, "id", (F.cos("a") * out).alias("tx"), (F.sin("a") * out).alias("ty"), n.alias("points"))
+
+
+def propose_edges(nodes: DataFrame, edges: DataFrame, radius: float = 60.0, snap: float = 8.0, ends_radius: float = 80.0) -> DataFrame:
+    """(scene, kind, a, b, u, v, t, distance, angle, pattern): endpoint a to the nearest place of each edge (u, v) within the radius, its own left out.
+
+    A place within `snap` of the edge's nearer end (u where both are) goes to that node b: endpoint_junction where it has three edges or more,
+    endpoint_endpoint (a < b) where it has one and lies within ends_radius, else nothing; a node of two edges is a place like any other.
+    For endpoint_edge, pattern tells how the connector meets the edge: near_parallel under 25 degrees, near_perpendicular over 65, else
+    oblique. Connectors without length go, as do repeated ones to one node.
+    """
+    d = degrees(nodes, edges)
+    ends = nodes.join(d.where("endpoint").select(SCENE, "id"), [SCENE, "id"]).select(SCENE, "id", "x", "y")
+    rows = near_segments(ends, with_ends(nodes, edges.select(SCENE, "u", "v")), radius, SCENE).where("id <> u and id <> v")
+    rows = rows.withColumn("px", F.col("x0") + F.col("t") * (F.col("x1") - F.col("x0"))).withColumn("py", F.col("y0") + F.col("t") * (F.col("y1") - F.col("y0")))
+    rows = rows.withColumn("du", geom.distance("px", "py", "x0", "y0")).withColumn("dv", geom.distance("px", "py", "x1", "y1"))
+    at_u = F.col("du") <= F.col("dv")
+    rows = rows.withColumn("near", F.when(at_u, F.col("u")).otherwise(F.col("v"))).withColumn("to_near", F.when(at_u, geom.distance("x", "y", "x0", "y0")).otherwise(geom.distance("x", "y", "x1", "y1")))
+    rows = rows.join(d.select(SCENE, F.col("id").alias("near"), F.col("degree").alias("near_degree")), [SCENE, "near"])
+    snapped = (F.least("du", "dv") <= snap) & (F.col("near_degree") != 2)
+    kind = F.when(~snapped, "endpoint_edge").when(F.col("near_degree") >= 3, "endpoint_junction").when(F.col("to_near") <= ends_radius, "endpoint_endpoint")
+    rows = rows.withColumn("kind", kind).where("kind is not null")
+    pair = F.col("kind") == "endpoint_endpoint"
+    to_node = rows.where("kind <> 'endpoint_edge' and to_near >= 1e-4").select(SCENE, "kind", F.when(pair, F.least("id", "near")).otherwise(F.col("id")).alias("a"), F.when(pair, F.greatest("id", "near")).otherwise(F.col("near")).alias("b"), "to_near")
+    to_node = to_node.groupBy(SCENE, "kind", "a", "b").agg(F.min("to_near").alias("distance"))
+    none = lambda k, *names: [F.lit(None).cast(k).alias(c) for c in names]
+    to_node = to_node.select(SCENE, "kind", "a", "b", *none("long", "u", "v"), *none("double", "t"), "distance", *none("double", "angle"), *none("string", "pattern"))
+    to_edge = rows.where("kind = 'endpoint_edge' and distance >= 1e-4").withColumn("angle", geom.axis_angle(F.col("px") - F.col("x"), F.col("py") - F.col("y"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))
+    pattern = F.when(F.col("angle") < 25, "near_parallel").when(F.col("angle") > 65, "near_perpendicular").otherwise("oblique")
+    return to_edge.select(SCENE, "kind", F.col("id").alias("a"), *none("long", "b"), "u", "v", "t", "distance", "angle", pattern.alias("pattern")).unionByName(to_node)
+
+
+def path_probability(paths: DataFrame, cells: DataFrame, low: float = 0.2) -> DataFrame:
+    """(scene, a, b, mean, median, p10, p25, minimum, maximum, std, below_02, below_03, longest_low, samples, evidence) of straight paths (scene, a, b, x0, y0, x1, y1).
+
+    Values are bilinear, at places at most 1 apart, 16 at least; a missing cell counts as 0. Without any cell of the scene: 0.5 for the values, 0 for the rest.
+    """
+    from .raster import bilinear
+
+    n = F.greatest(F.lit(15), F.ceil(geom.distance("x0", "y0", "x1", "y1"))).cast("int")
+    s = paths.select(SCENE, "a", "b", "x0", "y0", "x1", "y1").withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    at = lambda c: (F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("k") / F.col("n")).alias(c)
+    s = s.join(cells.select(SCENE).distinct(), SCENE, "left_semi").select(SCENE, F.struct("a", "b", "k").alias("id"), at("x"), at("y"))
+    v = s.select(SCENE, "id").join(bilinear(s, cells), [SCENE, "id"], "left").select(SCENE, "id.a", "id.b", "id.k", F.round(F.coalesce("value", F.lit(0.0)), 9).alias("p"))
+    q = lambda x: F.percentile("p", F.lit(x))
+    below = lambda x: F.avg((F.col("p") < x).cast("int"))
+    out = v.groupBy(SCENE, "a", "b").agg(
+        F.avg("p").alias("mean"), q(0.5).alias("median"), q(0.1).alias("p10"), q(0.25).alias("p25"), F.min("p").alias("minimum"), F.max("p").alias("maximum"), F.stddev_pop("p").alias("std"),
+        below(0.2).alias("below_02"), below(0.3).alias("below_03"), F.count(F.lit(1)).alias("samples"), F.array_sort(F.collect_list(F.struct("k", (F.col("p") < low).alias("low")))).alias("__low"),
+    )
+    out = out.withColumn("longest_low", geom.longest_run(F.col("__low")["low"]) / F.col("samples")).withColumn("evidence", F.lit(True)).drop("__low")
+    out = paths.select(SCENE, "a", "b").join(out, [SCENE, "a", "b"], "left")
+    return out.fillna({c: 0.5 for c in ("mean", "median", "p10", "p25", "minimum", "maximum")} | {c: 0.0 for c in ("std", "below_02", "below_03", "longest_low")} | {"samples": 0, "evidence": False})

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..functions import geom
 from ..functions.spatial import near_segments
 from ..plans.scratch import stored
 from .graph import SCENE, both_ends, with_ends
@@ -105,3 +106,29 @@ def grid_edges(cells: DataFrame, threshold: float, value: str = "value") -> Data
 def corridor_cost(p: Column, weight: float, power: float, penalty: float, threshold: float) -> Column:
     """1 + weight * (1 - p) ** power, and a penalty under the threshold."""
     return 1 + weight * F.pow(1 - p, F.lit(power)) + F.when(p < threshold, penalty).otherwise(0.0)
+
+
+def route_geometry(routes: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(scene, id, polyline, length, detour) of routes (scene, id, path array of nodes): the edges' polylines end to end.
+
+    Edges without a polyline are straight. detour is the length over the straight distance of the ends, null for a closed route. A route
+    of fewer than two nodes, or with a step that is no edge, has no row.
+    """
+    point = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
+    e = edges
+    if "polyline" not in e.columns:
+        e = with_ends(nodes, e.select(SCENE, "u", "v")).select(SCENE, "u", "v", F.array(point(0), point(1)).alias("polyline"))
+    e = e.select(SCENE, F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "polyline")
+    step = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(i.alias("k"), F.get("path", i - 1).alias("p"), F.get("path", i).alias("q")))
+    s = routes.where(F.size("path") > 1).select(SCENE, "id", F.size("path").alias("n"), F.explode(step).alias("s")).select(SCENE, "id", "n", "s.*")
+    s = s.withColumn("lo", F.least("p", "q")).withColumn("hi", F.greatest("p", "q")).join(e, [SCENE, "lo", "hi"])
+    s = s.join(nodes.select(SCENE, F.col("id").alias("p"), F.col("x").alias("px"), F.col("y").alias("py")), [SCENE, "p"])
+    line = geom.oriented(F.col("polyline"), F.col("px"), F.col("py"))
+    parts = s.groupBy(SCENE, "id", "n").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("parts")).where(F.size("parts") == F.col("n") - 1)
+    # a part starts where the one before ends
+    poly = F.concat(F.slice(F.get("parts", F.lit(0))["line"], 1, 1), F.flatten(F.transform("parts", lambda p: F.slice(p["line"], 2, F.greatest(F.size(p["line"]) - 1, F.lit(0))))))
+    out = parts.select(SCENE, "id", poly.alias("polyline"))
+    first, last = F.get("polyline", F.lit(0)), F.element_at("polyline", -1)
+    straight = geom.distance(first["x"], first["y"], last["x"], last["y"])
+    out = out.withColumn("length", geom.arc_length(F.col("polyline")))
+    return out.withColumn("detour", F.when(straight > 0, F.col("length") / straight))

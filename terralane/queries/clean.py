@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import clean as op
-from .graph import COMP, W
+from .graph import COMP, LINES, W, field, lines
 from .inputs import CELLS, POINTS, cells, edges, nodes, points, rounded
 
 NEW_EDGES = """k AS (SELECT id FROM pts p WHERE NOT EXISTS (SELECT 1 FROM mp WHERE mp.scene_id = p.scene_id AND mp.id = p.id AND mp.id <> mp."to")),
@@ -127,3 +127,60 @@ def _(t):
     for c, i in (("a", 0), ("b", 1)):
         ends = ends.join(nodes(t).select("scene_id", F.col("id").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}")), ["scene_id", c])
     return rounded(op.crossing_audit(ends, nodes(t), edges(t)).drop("x", "y"), 4)
+
+
+@query("g12_corridor_support", f"""WITH {LINES}, fr AS (SELECT max(x) AS mx, max(y) AS my FROM cells), o AS (SELECT n.*, sqrt((x0-x1)*(x0-x1)+(y0-y1)*(y0-y1)) AS d, unnest(range(0, n + 1)) AS k FROM n), p AS (SELECT *, unnest(range(-5, 6)) AS o FROM o),
+q AS (SELECT u, v, d, k, o, CAST(round_even(least(mx + 0.0, greatest(0.0, x0 + (x1 - x0) * k / n + o * ((y0 - y1) / d))), 0) AS BIGINT) AS x, CAST(round_even(least(my + 0.0, greatest(0.0, y0 + (y1 - y0) * k / n + o * ((x1 - x0) / d))), 0) AS BIGINT) AS y FROM p, fr),
+r AS (SELECT u, v, d, k, max(coalesce(value, 0)) FILTER (o = 0) AS line, max(coalesce(value, 0)) AS corridor FROM q LEFT JOIN cells USING (x, y) GROUP BY 1, 2, 3, 4),
+lr AS (SELECT *, sum(CASE WHEN line < 0.3 THEN 0 ELSE 1 END) OVER w AS rl, sum(CASE WHEN corridor < 0.3 THEN 0 ELSE 1 END) OVER w AS rc FROM r WINDOW w AS (PARTITION BY u, v ORDER BY k)),
+gl AS (SELECT u, v, max(c) AS c FROM (SELECT u, v, rl, count(*) AS c FROM lr WHERE line < 0.3 GROUP BY 1, 2, 3) GROUP BY 1, 2), gc AS (SELECT u, v, max(c) AS c FROM (SELECT u, v, rc, count(*) AS c FROM lr WHERE corridor < 0.3 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+st AS (SELECT u, v, d, count(*) AS samples, {", ".join(f"avg({c}) AS {c}_mean, median({c}) AS {c}_median, quantile_cont({c}, 0.1) AS {c}_p10, avg(CASE WHEN {c} > 0.1 THEN 1 ELSE 0 END) AS {c}_over_01, avg(CASE WHEN {c} > 0.2 THEN 1 ELSE 0 END) AS {c}_over_02, avg(CASE WHEN {c} > 0.5 THEN 1 ELSE 0 END) AS {c}_over_05" for c in ("line", "corridor"))} FROM r GROUP BY 1, 2, 3)
+SELECT u, v, round(d, 6) AS distance, samples, {", ".join(f"round({c}_{m}, 6) AS {c}_{m}" for c in ("line", "corridor") for m in ("mean", "median", "p10", "over_01", "over_02", "over_05"))}, coalesce(gl.c, 0) AS line_gap_samples, round(coalesce(gl.c, 0) / samples, 6) AS line_gap, round(coalesce(gl.c, 0) / samples * d, 6) AS line_gap_px, coalesce(gc.c, 0) AS corridor_gap_samples, round(coalesce(gc.c, 0) / samples, 6) AS corridor_gap, round(coalesce(gc.c, 0) / samples * d, 6) AS corridor_gap_px
+FROM st LEFT JOIN gl USING (u, v) LEFT JOIN gc USING (u, v)""")
+def _(t):
+    return rounded(op.corridor_support(lines(t), field(t), low=0.3).drop("scene_id"))
+
+
+@query("h5_endpoint_tangents", CHAINS + """, ep AS (SELECT ch.scene_id, path[1] AS id, path FROM ch JOIN dg ON dg.scene_id = ch.scene_id AND dg.id = path[1] AND degree = 1 UNION ALL SELECT ch.scene_id, path[-1], list_reverse(path) FROM ch JOIN dg ON dg.scene_id = ch.scene_id AND dg.id = path[-1] AND degree = 1),
+nd AS (SELECT scene_id, id, unnest(path) AS node, unnest(range(1, len(path) + 1)) AS k FROM ep), xy AS (SELECT nd.scene_id, nd.id, k, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM nd JOIN pts p ON p.scene_id = nd.scene_id AND p.id = node WINDOW w AS (PARTITION BY nd.scene_id, nd.id ORDER BY k)),
+le AS (SELECT *, coalesce(sqrt((x-px)**2+(y-py)**2), 0) AS l FROM xy), cu AS (SELECT *, sum(l) OVER (PARTITION BY scene_id, id ORDER BY k) AS s, least(30, sum(l) OVER (PARTITION BY scene_id, id)) AS m FROM le),
+pn AS (SELECT scene_id, id, s AS sx, x, y FROM cu WHERE s < m UNION ALL SELECT scene_id, id, m, px + (x-px)*(m-s+l)/l, py + (y-py)*(m-s+l)/l FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, id ORDER BY k) AS r FROM cu WHERE s >= m) WHERE r = 1),
+cv AS (SELECT scene_id, id, count(*) AS points, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS a, arg_min(x, sx) - arg_max(x, sx) AS ox, arg_min(y, sx) - arg_max(y, sx) AS oy FROM pn GROUP BY 1, 2)
+SELECT scene_id, id, round(cos(a) * CASE WHEN cos(a)*ox + sin(a)*oy < 0 THEN -1 ELSE 1 END, 6) + 0.0 AS tx, round(sin(a) * CASE WHEN cos(a)*ox + sin(a)*oy < 0 THEN -1 ELSE 1 END, 6) + 0.0 AS ty, points FROM cv""")
+def _(t):
+    from ..operators.proposals import endpoint_tangents
+
+    return rounded(endpoint_tangents(nodes(t), edges(t)))
+
+
+@query("h8_propose_edges", W + """, hh AS (SELECT e.scene_id, e.id, e.x, e.y, u, v, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1, greatest(0.0, least(1.0, ((e.x-p.x)*(q.x-p.x)+(e.y-p.y)*(q.y-p.y)) / ((q.x-p.x)*(q.x-p.x)+(q.y-p.y)*(q.y-p.y)))) AS t
+ FROM (SELECT dg.scene_id, dg.id, x, y FROM dg JOIN pts USING (scene_id, id) WHERE degree = 1) e JOIN g ON g.scene_id = e.scene_id AND e.id NOT IN (u, v) JOIN pts p ON p.scene_id = g.scene_id AND p.id = u JOIN pts q ON q.scene_id = g.scene_id AND q.id = v),
+pl AS (SELECT *, x0 + t*(x1-x0) AS px, y0 + t*(y1-y0) AS py FROM hh), ds AS (SELECT *, sqrt((x-px)**2+(y-py)**2) AS d, sqrt((px-x0)**2+(py-y0)**2) AS du, sqrt((px-x1)**2+(py-y1)**2) AS dv FROM pl),
+nr AS (SELECT *, CASE WHEN du <= dv THEN u ELSE v END AS nb, CASE WHEN du <= dv THEN sqrt((x-x0)**2+(y-y0)**2) ELSE sqrt((x-x1)**2+(y-y1)**2) END AS tn FROM ds WHERE d <= 60),
+kd AS (SELECT nr.*, CASE WHEN least(du, dv) > 8 OR degree = 2 THEN 'endpoint_edge' WHEN degree >= 3 THEN 'endpoint_junction' WHEN tn <= 80 THEN 'endpoint_endpoint' END AS kind FROM nr JOIN dg ON dg.scene_id = nr.scene_id AND dg.id = nb),
+an AS (SELECT *, degrees(acos(least(1.0, abs((px-x)*(x1-x0)+(py-y)*(y1-y0)) / (sqrt((px-x)**2+(py-y)**2) * sqrt((x1-x0)**2+(y1-y0)**2))))) AS ang FROM kd WHERE kind = 'endpoint_edge' AND d >= 1e-4)
+SELECT scene_id, kind, id AS a, CAST(NULL AS BIGINT) AS b, u, v, round(t, 6) AS t, round(d, 6) AS distance, round(ang, 6) AS angle, CASE WHEN ang < 25 THEN 'near_parallel' WHEN ang > 65 THEN 'near_perpendicular' ELSE 'oblique' END AS pattern FROM an
+UNION ALL SELECT scene_id, kind, CASE WHEN kind = 'endpoint_endpoint' THEN least(id, nb) ELSE id END, CASE WHEN kind = 'endpoint_endpoint' THEN greatest(id, nb) ELSE nb END, NULL, NULL, NULL, round(min(tn), 6), NULL, NULL FROM kd WHERE kind <> 'endpoint_edge' AND tn >= 1e-4 GROUP BY 1, 2, 3, 4""")
+def _(t):
+    from ..operators.proposals import propose_edges
+
+    return rounded(propose_edges(nodes(t), edges(t)))
+
+
+@query("h10_path_probability", f"""WITH {LINES}, h AS (SELECT u, v, n, k, x0 + (x1 - x0) * k / n AS x, y0 + (y1 - y0) * k / n AS y FROM s), f AS (SELECT *, CAST(floor(x) AS BIGINT) AS fx, CAST(floor(y) AS BIGINT) AS fy FROM h),
+c4 AS (SELECT f.*, fx + i AS cx, fy + j AS cy, (CASE WHEN i = 1 THEN x - fx ELSE 1 - (x - fx) END) * (CASE WHEN j = 1 THEN y - fy ELSE 1 - (y - fy) END) AS w FROM f, range(2) a(i), range(2) b(j)),
+pb AS (SELECT u, v, k, round(coalesce(sum(w * value), 0), 9) AS p FROM c4 LEFT JOIN cells ON cells.x = cx AND cells.y = cy GROUP BY 1, 2, 3),
+rn AS (SELECT u, v, max(c) AS c FROM (SELECT u, v, r, count(*) AS c FROM (SELECT *, sum(CASE WHEN p < 0.2 THEN 0 ELSE 1 END) OVER (PARTITION BY u, v ORDER BY k) AS r FROM pb) WHERE p < 0.2 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT u AS a, v AS b, round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.25), 6) AS p25, round(min(p), 6) AS minimum, round(max(p), 6) AS maximum, round(stddev_pop(p), 6) AS std, round(avg(CASE WHEN p < 0.2 THEN 1 ELSE 0 END), 6) AS below_02, round(avg(CASE WHEN p < 0.3 THEN 1 ELSE 0 END), 6) AS below_03, count(*) AS samples, round(coalesce(any_value(c), 0) / count(*), 6) AS longest_low, true AS evidence FROM pb LEFT JOIN rn USING (u, v) GROUP BY 1, 2""")
+def _(t):
+    from ..operators.proposals import path_probability
+
+    return rounded(path_probability(lines(t).withColumnsRenamed({"u": "a", "v": "b"}), field(t)).drop("scene_id"))
+
+
+@query("j7_route_geometry", CHAINS + """ SELECT ch.scene_id, array_to_string(path, ',') AS id, len(path) AS points, round(ch.length, 6) AS length, CASE WHEN path[1] <> path[-1] THEN round(ch.length / sqrt((p.x-q.x)**2+(p.y-q.y)**2), 6) END AS detour FROM ch JOIN pts p ON p.scene_id = ch.scene_id AND p.id = path[1] JOIN pts q ON q.scene_id = ch.scene_id AND q.id = path[-1]""")
+def _(t):
+    from ..operators.routing import route_geometry
+
+    routes = op.chains(nodes(t), edges(t)).select("scene_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("id"), "path")
+    return rounded(route_geometry(routes, nodes(t), edges(t)).withColumn("points", F.size("polyline")).drop("polyline"))

@@ -48,3 +48,43 @@ def test_contract_keeps_the_longer_parallel_edge_and_its_bends(spark):
 def test_sweep_changes_one_factor(spark):
     out = clean.sweep(lambda a, b: spark.range(1).select(F.lit(a + b).alias("n")), {"a": 1, "b": 2}, {"a": [1, 5], "b": [3]})
     assert sorted((r.config, r.n) for r in out.collect()) == [("a=5", 7), ("b=3", 4), ("base", 3)]
+
+
+def test_route_geometry_follows_the_bends_in_both_directions(spark):
+    from terralane.operators.routing import route_geometry
+
+    nodes = spark.createDataFrame([(0, 0, 0.0, 0.0), (0, 1, 10.0, 0.0), (0, 2, 10.0, 10.0), (0, 3, 30.0, 0.0)], "scene_id long, id long, x double, y double")
+    line = lambda *p: [(float(x), float(y)) for x, y in p]
+    edges = spark.createDataFrame([(0, 0, 1, line((10, 0), (5, 5), (0, 0))), (0, 1, 2, line((10, 0), (10, 10)))], "scene_id long, u long, v long, polyline array<struct<x:double,y:double>>")
+    routes = spark.createDataFrame([(0, "there", [0, 1, 2]), (0, "back", [2, 1, 0]), (0, "stay", [1]), (0, "gap", [0, 1, 3]), (0, "none", None)], "scene_id long, id string, path array<long>")
+    got = {r.id: r for r in route_geometry(routes, nodes, edges).collect()}
+    there = [(0.0, 0.0), (5.0, 5.0), (10.0, 0.0), (10.0, 10.0)]
+    assert set(got) == {"there", "back"}
+    assert [(p.x, p.y) for p in got["there"].polyline] == there and [(p.x, p.y) for p in got["back"].polyline] == there[::-1]
+    assert abs(got["there"].length - (50**0.5 * 2 + 10)) < 1e-9 and abs(got["back"].detour - got["there"].length / 200**0.5) < 1e-9
+
+
+def test_tangents_look_back_along_the_chain(spark):
+    from terralane.operators.proposals import endpoint_tangents
+
+    # 30 straight to the right before the bend: what lies beyond doesn't count
+    nodes, edges = graph(spark, {0: (0, 0), 1: (30, 0), 2: (30, 40), 3: (100, 0), 4: (100, 5)}, [(0, 1), (1, 2), (3, 4)])
+    got = {r.id: (round(r.tx, 6), round(r.ty, 6)) for r in endpoint_tangents(nodes, edges).collect()}
+    assert got == {0: (-1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, -1.0), 4: (0.0, 1.0)}
+
+
+def test_probability_without_evidence_is_neutral(spark):
+    from terralane.operators.proposals import path_probability
+
+    paths = spark.createDataFrame([(0, 1, 2, 0.0, 0.0, 9.0, 0.0), (7, 1, 2, 0.0, 0.0, 9.0, 0.0)], "scene_id long, a long, b long, x0 double, y0 double, x1 double, y1 double")
+    cells = spark.createDataFrame([(0, x, 0, 0.0 if 3 <= x <= 5 else 1.0) for x in range(10)], "scene_id long, x long, y long, value double")
+    got = {r.scene_id: r for r in path_probability(paths, cells).collect()}
+    assert (got[7].mean, got[7].samples, got[7].evidence) == (0.5, 0, False)
+    assert got[0].samples == 16 and got[0].minimum == 0.0 and got[0].evidence and abs(got[0].longest_low - 4 / 16) < 1e-9
+
+
+def test_corridor_takes_what_lies_beside_the_line(spark):
+    edges = spark.createDataFrame([(0, 0, 1, 0.0, 10.0, 20.0, 10.0)], "scene_id long, u long, v long, x0 double, y0 double, x1 double, y1 double")
+    cells = spark.createDataFrame([(0, x, y, 0.8 if y == 14 and x < 10 else 0.0) for x in range(21) for y in range(21)], "scene_id long, x long, y long, value double")
+    (r,) = clean.corridor_support(edges, cells).collect()
+    assert (r.samples, r.line_gap_samples, r.corridor_gap_samples, r.line_mean) == (21, 21, 11, 0.0) and abs(r.corridor_over_05 - 10 / 21) < 1e-9
