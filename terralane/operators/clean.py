@@ -241,3 +241,19 @@ def corridor_support(edges: DataFrame, cells: DataFrame, radius: int = 5, least:
         run = geom.longest_run(F.col("__low")[c])
         out = out.withColumn(f"{c}_gap_samples", run).withColumn(f"{c}_gap", F.col(f"{c}_gap_samples") / F.col("samples")).withColumn(f"{c}_gap_px", F.col(f"{c}_gap") * F.col("distance"))
     return out.drop("__low")
+
+
+def same_road(points: DataFrame, cells: DataFrame, distance: float = 50.0, degrees_: float = 15.0, lateral: float = 25.0, anisotropy: float = 0.5, share: float = 0.5) -> DataFrame:
+    """(scene, id, cluster) of points (scene, id, x, y, axis in degrees, anisotropy): the least id that a chain of pairs on one road reaches.
+
+    A pair is on one road when both points are anisotropic enough, lie within the distance, differ by at most degrees_ in axis, when the second lies at most
+    `lateral` off the first one's axis (the first is the one of lesser id), and over the share of the corridor between them has cells over 0.1.
+    """
+    p = points.where(F.col("anisotropy") >= anisotropy)
+    side = lambda s, i: p.select(SCENE, F.col("id").alias(f"id_{s}"), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"), F.col("axis").alias(f"axis_{s}"))
+    pairs = near_points(p, p, distance, SCENE).where("id_a < id_b").join(side("a", 0), [SCENE, "id_a"]).join(side("b", 1), [SCENE, "id_b"])
+    turn = F.pmod(F.abs(F.col("axis_a") - F.col("axis_b")), F.lit(180.0))
+    off = F.abs(F.cos(F.radians("axis_a")) * (F.col("y1") - F.col("y0")) - F.sin(F.radians("axis_a")) * (F.col("x1") - F.col("x0")))
+    pairs = pairs.where((F.least(turn, 180.0 - turn) <= degrees_) & (F.round(off, 9) <= lateral))
+    support = corridor_support(pairs.select(SCENE, F.col("id_a").alias("u"), F.col("id_b").alias("v"), "x0", "y0", "x1", "y1"), cells)
+    return components(points, support.where(F.col("corridor_over_01") >= share).select(SCENE, "u", "v")).withColumnRenamed("component", "cluster")

@@ -238,3 +238,21 @@ def path_probability(paths: DataFrame, cells: DataFrame, low: float = 0.2) -> Da
     out = out.withColumn("longest_low", geom.longest_run(F.col("__low")["low"]) / F.col("samples")).withColumn("evidence", F.lit(True)).drop("__low")
     out = paths.select(SCENE, "a", "b").join(out, [SCENE, "a", "b"], "left")
     return out.fillna({c: 0.5 for c in ("mean", "median", "p10", "p25", "minimum", "maximum")} | {c: 0.0 for c in ("std", "below_02", "below_03", "longest_low")} | {"samples": 0, "evidence": False})
+
+
+def corridor_budget(rows: DataFrame, n: int = 3) -> DataFrame:
+    """Corridors (scene, id, a, b, ax, ay, bx, by, score, status) with deduplicated and budget_excluded.
+
+    Of those between components a and b whose ends agree to one decimal the best stays; of those the n best proposed ones of each pair of
+    components are in the budget. Best: highest score, then least id, which must be unique in a scene.
+    """
+    up = F.col("a") < F.col("b")
+    end = lambda c: F.struct(F.bround(f"{c}x", 1).alias("x"), F.bround(f"{c}y", 1).alias("y"))
+    best = F.struct((-F.col("score")).alias("s"), "id", "status")
+    pair = [F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")]
+    one = rows.groupBy(SCENE, *pair, F.when(up, end("a")).otherwise(end("b")).alias("e"), F.when(up, end("b")).otherwise(end("a")).alias("f")).agg(F.min(best).alias("m")).select(SCENE, "p", "q", "m.*")
+    rank = F.row_number().over(Window.partitionBy(SCENE, "p", "q").orderBy("s", "id"))
+    top = one.where("status = 'proposed'").withColumn("k", rank).where(F.col("k") <= n).select(SCENE, "id", F.lit(True).alias("__top"))
+    out = rows.join(one.select(SCENE, "id", F.lit(True).alias("__one")), [SCENE, "id"], "left").join(top, [SCENE, "id"], "left")
+    out = out.withColumn("deduplicated", F.col("__one").isNull())
+    return out.withColumn("budget_excluded", F.col("deduplicated") | ((F.col("status") == "proposed") & F.col("__top").isNull())).drop("__one", "__top")

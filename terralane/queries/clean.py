@@ -184,3 +184,29 @@ def _(t):
 
     routes = op.chains(nodes(t), edges(t)).select("scene_id", F.array_join(F.col("path").cast("array<string>"), ",").alias("id"), "path")
     return rounded(route_geometry(routes, nodes(t), edges(t)).withColumn("points", F.size("polyline")).drop("polyline"))
+
+
+@query("g13_same_road", f"""WITH RECURSIVE {POINTS}, {CELLS}, fr AS (SELECT max(x) AS mx, max(y) AS my FROM cells), n AS (SELECT scene_id, id, ((x % 64) + 64) % 64 AS x, ((y % 64) + 64) % 64 AS y, CAST((id * 37) % 180 AS DOUBLE) AS axis, (id % 10) / 10 AS an FROM pts),
+pr AS (SELECT a.scene_id, a.id AS u, b.id AS v, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d, abs(a.axis - b.axis) AS t, abs(cos(radians(a.axis))*(b.y-a.y) - sin(radians(a.axis))*(b.x-a.x)) AS lat FROM n a JOIN n b ON a.scene_id = b.scene_id AND a.id < b.id AND a.an >= 0.5 AND b.an >= 0.5),
+pp AS (SELECT *, CAST(greatest(15, ceil(d)) AS INT) AS n FROM pr WHERE d <= 50 AND least(t % 180, 180 - t % 180) <= 15 AND round(lat, 9) <= 25), sk AS (SELECT *, unnest(range(0, n + 1)) AS k FROM pp), so AS (SELECT *, unnest(range(-5, 6)) AS o FROM sk),
+q AS (SELECT scene_id, u, v, k, CAST(round_even(least(mx + 0.0, greatest(0.0, x0 + (x1 - x0) * k / n + o * CASE WHEN d > 1e-8 THEN (y0 - y1) / d ELSE 0 END)), 0) AS BIGINT) AS x, CAST(round_even(least(my + 0.0, greatest(0.0, y0 + (y1 - y0) * k / n + o * CASE WHEN d > 1e-8 THEN (x1 - x0) / d ELSE 0 END)), 0) AS BIGINT) AS y FROM so, fr),
+r AS (SELECT scene_id, u, v, k, max(coalesce(value, 0)) AS c FROM q LEFT JOIN cells USING (x, y) GROUP BY 1, 2, 3, 4), e AS (SELECT scene_id, u, v FROM r GROUP BY 1, 2, 3 HAVING avg(CASE WHEN c > 0.1 THEN 1 ELSE 0 END) >= 0.5),
+b2 AS (SELECT scene_id, u AS id, v AS other FROM e UNION ALL SELECT scene_id, v, u FROM e), rr AS (SELECT scene_id, id, id AS r FROM n UNION SELECT rr.scene_id, rr.id, b2.other FROM rr JOIN b2 ON rr.scene_id = b2.scene_id AND rr.r = b2.id)
+SELECT scene_id, id, min(r) AS cluster FROM rr GROUP BY 1, 2""")
+def _(t):
+    at = lambda c: F.pmod(F.col(c), F.lit(64.0)).alias(c)
+    p = nodes(t).select("scene_id", "id", at("x"), at("y"), ((F.col("id") * 37) % 180).cast("double").alias("axis"), ((F.col("id") % 10) / 10).alias("anisotropy"))
+    # every scene has the same field of cells; the scenes are the labels
+    return op.same_road(p, cells(t).crossJoin(F.broadcast(nodes(t).select("scene_id").distinct())))
+
+
+@query("h20_corridor_budget", """WITH c AS (SELECT o_orderkey AS id, o_custkey % 10 AS a, o_orderkey % 7 AS b, o_custkey % 3 * 1.04 AS ax, o_orderkey % 2 * 0.3 AS ay, o_orderkey % 5 / 5 AS bx, o_custkey % 2 * 2.0 AS "by", o_totalprice AS score, CASE WHEN o_orderstatus = 'F' THEN 'rejected' ELSE 'proposed' END AS status FROM orders WHERE o_custkey % 10 <> o_orderkey % 7),
+r AS (SELECT *, least(a, b) AS p, greatest(a, b) AS q, round_even(CASE WHEN a < b THEN ax ELSE bx END, 1) AS e1, round_even(CASE WHEN a < b THEN ay ELSE "by" END, 1) AS e2, round_even(CASE WHEN a < b THEN bx ELSE ax END, 1) AS f1, round_even(CASE WHEN a < b THEN "by" ELSE ay END, 1) AS f2 FROM c),
+d AS (SELECT *, row_number() OVER (PARTITION BY p, q, e1, e2, f1, f2 ORDER BY score DESC, id) > 1 AS deduplicated FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY p, q, status, deduplicated ORDER BY score DESC, id) AS k FROM d)
+SELECT id, a, b, status, deduplicated, deduplicated OR (status = 'proposed' AND k > 3) AS budget_excluded FROM k""")
+def _(t):
+    from ..operators.proposals import corridor_budget
+
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    rows = t.orders.select(F.lit(0).alias("scene_id"), order.alias("id"), (customer % 10).alias("a"), (order % 7).alias("b"), (customer % 3 * 1.04).alias("ax"), (order % 2 * 0.3).alias("ay"), (order % 5 / 5).alias("bx"), (customer % 2 * 2.0).alias("by"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("proposed").alias("status"))
+    return corridor_budget(rows.where("a <> b")).select("id", "a", "b", "status", "deduplicated", "budget_excluded")
