@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, spelling, substring_dedup, token_counts, token_files, toxicity
+from . import alignment, bpe, exact_dedup, fingerprints, jaccard_join, line_dedup, mixing, quality, spelling, substring_dedup, token_counts, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -62,6 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_docs(spark, sf_dir).select("doc_id", "text"))
 
@@ -72,5 +76,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.digests(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op13_alignment": op13_alignment, "op12_spelling_variants": op12_spelling_variants, "op10_toxicity": op10_toxicity, "op6_substring_dedup": op6_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op3_token_files": op3_token_files, "op7_token_counts": op7_token_counts, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
+QUERIES = {"op11_quality": op11_quality, "op13_alignment": op13_alignment, "op12_spelling_variants": op12_spelling_variants, "op10_toxicity": op10_toxicity, "op6_substring_dedup": op6_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op3_token_files": op3_token_files, "op7_token_counts": op7_token_counts, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
 ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
