@@ -21,8 +21,11 @@ BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 BREAKS = " \n\t"
 #: A unit is white space, what follows up to one of BREAKS behind a character that isn't white space, or white space at the end.
 UNIT = re.compile(rf"\s*\S+(?:[^\S{BREAKS}]\s*\S*)*|\s+")
-#: Units and id pairs that a worker keeps between batches; beyond it starts afresh.
-CACHE_UNITS = 200_000
+#: Units that a worker keeps between batches; beyond it starts afresh.
+CACHE_UNITS = 300_000
+#: Units that are encoded as one text, and aligned at once.
+RUN, LEARNED = 512, 32_768
+#: Id pairs that a task counts before it hands them on.
 CACHE_PAIRS = 2_000_000
 #: Up to so many id pairs the counts are broadcast (16 bytes a pair); more are joined by shuffle.
 BROADCAST_PAIRS = 8_000_000
@@ -91,9 +94,10 @@ class Tokenizers:
             raise ValueError(f"{path_b}: a piece holds white space behind another character, so texts can't be cut into units")
         self.mark = self.b.piece_to_id(MARK)
         self.size_a, self.size_b = (np.array([len(x) for x in t]) for t in (self.bytes_a, self.bytes_b))
-        self.text_a, self.text_b = (list(map(str, range(len(t)))) for t in (self.bytes_a, self.bytes_b))
+        #: ids as text: of a before a comma and before the bar, then of b before a comma and before the semicolon
+        self.names = np.array([f"{i}{sign}" for t, signs in ((self.bytes_a, ",|"), (self.bytes_b, ",;")) for i in range(len(t)) for sign in signs], object)
 
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def by_unit(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """The ids of each unit. The second tokenizer puts a mark before what it is given: it stands for the unit's own space, or is dropped."""
         a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         spaced = [u[0] == " " for u in units]
@@ -101,9 +105,26 @@ class Tokenizers:
         # an empty text has no pieces, not even the mark
         return a, [ids if s and len(u) > 1 else [self.mark] if s else ids[1:] for u, s, ids in zip(units, spaced, b)]
 
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of sound units in a row. RUN of them are encoded as one text, as they would stand in a document; none where bytes differ."""
+        runs = ["".join(units[i : i + RUN]) for i in range(0, len(units), RUN)]
+        a = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
+        b = [ids if r[0] == " " else ids[1:] for r, ids in zip(runs, self.b.encode([r[1:] if r[0] == " " else r for r in runs], num_threads=1))]
+        for k, r in enumerate(runs):
+            raw = r.encode()
+            if not b"".join(map(self.bytes_a.__getitem__, a[k])) == raw == b"".join(map(self.bytes_b.__getitem__, b[k])):
+                return np.empty(0, np.int64), np.empty(0, np.int64)
+        flat = [np.concatenate([np.array(x, np.int64) for x in t]) for t in (a, b)]
+        return flat[0], flat[1]
+
+
+def sound(unit: str) -> bool:
+    """Whether units like it can be encoded in a row: white space of BREAKS before it, none behind it, and no mark in it."""
+    return unit[0] in BREAKS and not unit[-1].isspace() and MARK not in unit
+
 
 class Aligner:
-    """What the units of texts have: ids, groups, links. Each distinct unit is aligned once per worker."""
+    """What the units of texts have: ids, groups, links. Each distinct unit is aligned once while the cache holds it."""
 
     def __init__(self, path_a: str, path_b: str):
         self.both = Tokenizers(path_a, path_b)
@@ -115,61 +136,62 @@ class Aligner:
         self.groups: list[str] = []
         #: n_a, n_b, n_groups, n_links, n_group_links of each unit; -1 where the bytes differ
         self.counts = np.empty((0, 5), np.int64)
-        #: the links' id pairs, unit by unit: numbers of self.pairs
+        #: the links' id pairs a * width + b, unit by unit
         self.ptr, self.links = np.zeros(1, np.int64), np.empty(0, np.int64)
-        #: id pair a * width + b -> its number, and the pairs by number
-        self.pairs: dict[int, int] = {}
-        self.codes: list[int] = []
-
-    def trim(self) -> None:
-        """Between batches."""
-        if len(self.units) > CACHE_UNITS or len(self.pairs) > CACHE_PAIRS:
-            self.forget()
 
     def learn(self, new: list[str]) -> None:
         both = self.both
-        ids_a, ids_b = both.encode(new)
-        raw = [u.encode() for u in new]
-        same = [b"".join(map(both.bytes_a.__getitem__, a)) == u == b"".join(map(both.bytes_b.__getitem__, b)) for u, a, b in zip(raw, ids_a, ids_b)]
-        n_a, n_b = (np.array([len(x) if s else 0 for x, s in zip(t, same)]) for t in (ids_a, ids_b))
+        good = [u for u in new if sound(u)]
+        for k in range(0, len(good), LEARNED):
+            part = good[k : k + LEARNED]
+            flat_a, flat_b = both.encode(part)
+            if len(flat_a):
+                self.align(part, flat_a, flat_b, np.ones(len(part), bool))
+            else:
+                self.one_by_one(part)
+        self.one_by_one([u for u in new if not sound(u)])
+
+    def one_by_one(self, units: list[str]) -> None:
+        if not units:
+            return
+        both = self.both
+        ids_a, ids_b = both.by_unit(units)
+        same = [b"".join(map(both.bytes_a.__getitem__, a)) == u.encode() == b"".join(map(both.bytes_b.__getitem__, b)) for u, a, b in zip(units, ids_a, ids_b)]
         flat_a, flat_b = (np.fromiter((i for x, s in zip(t, same) if s for i in x), np.int64) for t in (ids_a, ids_b))
-        end_a, end_b = np.cumsum(both.size_a[flat_a]), np.cumsum(both.size_b[flat_b])
-        n_bytes = int(end_a[-1]) if len(end_a) else 0
-        a = Matrix.of_spans(end_a - both.size_a[flat_a], end_a, n_bytes)
-        b = Matrix.of_spans(end_b - both.size_b[flat_b], end_b, n_bytes)
-        x, y, _ = a.times(b.transposed())  # tokens that share a byte
-        shared = np.intersect1d(end_a, end_b)  # where groups end
+        self.align(units, flat_a, flat_b, np.array(same, bool))
+
+    def align(self, units: list[str], flat_a: np.ndarray, flat_b: np.ndarray, same: np.ndarray) -> None:
+        """Keep the alignment of units whose ids stand in a row; those with other bytes have none."""
+        both = self.both
+        sizes = np.array([len(u.encode()) if s else 0 for u, s in zip(units, same.tolist())])
+        end_a, end_b, end = np.cumsum(both.size_a[flat_a]), np.cumsum(both.size_b[flat_b]), np.cumsum(sizes)
+        n_bytes = int(end[-1])
+        x, y, _ = Matrix.of_spans(end_a - both.size_a[flat_a], end_a, n_bytes).times(Matrix.of_spans(end_b - both.size_b[flat_b], end_b, n_bytes).transposed())  # tokens that share a byte
+        shared = np.intersect1d(end_a, end_b, assume_unique=True)  # where groups end
         group_a, group_b = np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)
-        in_a, in_b = (Matrix.of_spans(g, g + 1, len(shared)) for g in (group_a, group_b))
-        gx, _, _ = in_a.times(in_b.transposed())  # tokens that share a group
-        unit_a = np.repeat(np.arange(len(new)), n_a)
-        n_links, n_group_links = np.bincount(unit_a[x], minlength=len(new)), np.bincount(unit_a[gx], minlength=len(new))
-        first_a, first_b = (np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool) for g in (group_a, group_b))
-        cut_a, cut_b = (np.append(np.flatnonzero(f), len(f)).tolist() for f in (first_a, first_b))
-        n_groups = np.bincount(unit_a[first_a], minlength=len(new))
-        names_a, names_b = (list(map(t.__getitem__, f.tolist())) for t, f in ((both.text_a, flat_a), (both.text_b, flat_b)))
-        texts = [",".join(names_a[i:j]) + "|" + ",".join(names_b[k:m]) for i, j, k, m in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
-        at = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        codes, place = np.unique(flat_a[x] * self.width + flat_b[y], return_inverse=True)
-        number = np.empty(len(codes), np.int64)
-        for i, c in enumerate(codes.tolist()):
-            k = self.pairs.get(c)
-            if k is None:
-                k = self.pairs[c] = len(self.codes)
-                self.codes.append(c)
-            number[i] = k
-        counts = np.stack([n_a, n_b, n_groups, n_links, n_group_links], axis=1)
-        counts[~np.array(same, bool)] = -1
+        gx, _, _ = Matrix.of_spans(group_a, group_a + 1, len(shared)).times(Matrix.of_spans(group_b, group_b + 1, len(shared)).transposed())  # tokens that share a group
+        unit_a, unit_b, unit_g = (np.searchsorted(end, e) for e in (end_a, end_b, shared))
+        n = len(units)
+        n_links = np.bincount(unit_a[x], minlength=n)
+        counts = np.stack([np.bincount(unit_a, minlength=n), np.bincount(unit_b, minlength=n), np.bincount(unit_g, minlength=n), n_links, np.bincount(unit_a[gx], minlength=n)], axis=1)
+        counts[~same] = -1
+        # the signs behind ids: a comma, or what ends a group's side
+        last_a, last_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.empty(0, bool) for g in (group_a, group_b))
+        word = np.concatenate([2 * flat_a + last_a, 2 * len(both.bytes_a) + 2 * flat_b + last_b])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        names = both.names[word[order]].tolist()
+        at = np.concatenate([[0], np.cumsum(counts[:, 0].clip(0) + counts[:, 1].clip(0))]).tolist()
         start = len(self.groups)
-        self.units.update(zip(new, range(start, start + len(new))))
-        self.groups += [";".join(texts[i:j]) for i, j in zip(at, at[1:])]
+        self.units.update(zip(units, range(start, start + n)))
+        self.groups += ["".join(names[i:j])[:-1] for i, j in zip(at, at[1:])]
         self.counts = np.concatenate([self.counts, counts])
         self.ptr = np.concatenate([self.ptr, self.ptr[-1] + np.cumsum(n_links)])
-        self.links = np.concatenate([self.links, number[place]])
+        self.links = np.concatenate([self.links, flat_a[x] * self.width + flat_b[y]])
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[tuple[np.ndarray, np.ndarray]]]:
         """For each text its five counts, its groups as text, and (id pairs ascending, occurrences) of its links."""
-        self.trim()
+        if len(self.units) > CACHE_UNITS:
+            self.forget()
         cut = [UNIT.findall(" " + t) if t else [] for t in texts]
         new: dict[str, None] = {}
         for units in cut:
@@ -179,7 +201,6 @@ class Aligner:
         at = [np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)) for units in cut]
         counts, groups, links = np.zeros((len(texts), 5), np.int64), [], []
         none = np.empty(0, np.int64)
-        codes = np.array(self.codes, np.int64)
         for k, units in enumerate(at):
             own = self.counts[units]
             if not len(own) or own[:, 0].min() < 0:
@@ -192,7 +213,7 @@ class Aligner:
             size = self.ptr[distinct + 1] - self.ptr[distinct]
             ends = np.cumsum(size)
             place = np.arange(ends[-1]) - np.repeat(ends - size - self.ptr[distinct], size)
-            pair, which = np.unique(codes[self.links[place]], return_inverse=True)
+            pair, which = np.unique(self.links[place], return_inverse=True)
             links.append((pair, np.bincount(which, np.repeat(times, size)).astype(np.int64)))
         return counts, groups, links
 
