@@ -53,21 +53,24 @@ def copy_key(text):
     return F.unhex(F.substring(F.sha2(F.trim(F.regexp_replace(lower_ascii(text), r"[\x20\x09-\x0D]+", " ")), 256), 1, 32))
 
 
-def boilerplate_of_distinct(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate_of_distinct(lines: DataFrame, min_sites: int = MIN_SITES, groups: DataFrame | None = None) -> DataFrame:
     """boilerplate_lines of (line_key, site, copy, id) rows, where the rows of one copy key vote once, by the site of the least id.
 
-    Votes never outnumber sites, so only the lines that all rows put near the limit are counted again.
+    groups (copy, group) puts several copy keys into one vote; keys without a row there are their own. Votes never outnumber sites, so only the lines that all rows put near the limit are counted again.
     """
     spread = spread_lines(lines.select("line_key", "site"), min_sites)
     if spread.count() <= SENT_LINES:
         found = lines.join(F.broadcast(spread.select("line_key")), "line_key")
     else:
         found = lookup(lines, spread.select("line_key", "uses"), "line_key", "uses", spread.agg(F.sum("uses").alias("n")).first()["n"])
-    votes = stored(found.groupBy("line_key", "copy").agg(F.min(F.struct("id", "site")).alias("vote")).select("line_key", F.col("vote.site").alias("site")), "votes")
+    votes = found.groupBy("line_key", "copy").agg(F.min(F.struct("id", "site")).alias("vote"))
+    if groups is not None:
+        votes = votes.join(groups, "copy", "left").groupBy("line_key", F.coalesce("group", "copy")).agg(F.min("vote").alias("vote"))
+    votes = stored(votes.select("line_key", F.col("vote.site").alias("site")), "votes")
     return boilerplate_lines(votes, min_sites).select("line_key").join(spread.select("line_key", "uses"), "line_key")
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, once: str | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, once: str | None = None, near: DataFrame | None = None) -> DataFrame:
     """Remove lines that stand on many sites.
 
     Lines are what newlines separate, compared without the white space around them; empty lines always stay. All
@@ -76,7 +79,8 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     replaced); each row gives one row. A null text stays null with no lines. No rows give no rows.
 
     With `once`, a column of ids, copies of one text (equal words but for ASCII case) count as one document on the
-    site of the least id: a copied article is no boilerplate, however many sites its copies stand on.
+    site of the least id: a copied article is no boilerplate, however many sites its copies stand on. near (t1, t2, class), the
+    text keys of documents with the class of their near copies, lets near copies of one class count as one document too.
     """
     own = [i for i, c in enumerate(docs.columns) if c.lower() not in ("n_lines", "n_removed")]
     names = [f"c{i}" for i in range(len(docs.columns))]
@@ -85,9 +89,14 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     size = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
     text = F.col(at["text"])
     copy = [] if once is None else [copy_key(text).alias("copy"), F.col(at[once]).alias("id")]
+    groups = None
+    if copy and near is not None:
+        # a class is named by the least copy key in it, so that copies of its texts beyond ASCII case and white space are in it too
+        texts = rows.where(text.isNotNull()).select(text_key(text).alias("t"), copy_key(text).alias("copy")).distinct()
+        groups = texts.join(near.where("class is not null").select(F.struct("t1", "t2").alias("t"), "class").distinct(), "t").groupBy("copy").agg(F.min("class").alias("group"))
     lines = rows.select(F.coalesce(F.col(at[site]), F.lit("")).alias("site"), *copy, F.explode(F.split(text, "\n")).alias("line"))
     lines = lines.where(trimmed(F.col("line")) != "").select("site", *(["copy", "id"] if copy else []), line_key(F.col("line")).alias("line_key"))
-    found = boilerplate_of_distinct(lines, min_sites) if copy else boilerplate_lines(lines, min_sites)
+    found = boilerplate_of_distinct(lines, min_sites, groups) if copy else boilerplate_lines(lines, min_sites)
     bad = stored(found, "boilerplate")
     if bad.count() <= SENT_LINES:
         out = without(rows, at["text"], size, {bytes(r["line_key"]) for r in bad.select("line_key").collect()})
