@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove lines that stand on many sites, copies of a text counted once; a document that had text and keeps none goes."""
-    out = line_dedup.line_dedup(docs.select(*COLUMNS), once="doc_id")
+    """Remove lines that stand on many sites, near copies of a text counted once; a document that had text and keeps none goes."""
+    near = jaccard_join.classed(docs.select("doc_id", "text"), 5, "0.8").select("t1", "t2", "class")
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), once="doc_id", near=near)
     return out.where(~((F.col("n_removed") > 0) & F.coalesce(line_dedup.trimmed(F.col("text")) == "", F.lit(True)))).select(*COLUMNS)
 
 
