@@ -49,14 +49,14 @@ def terminals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.join(rings, [SCENE, "component"]).where("degree <> 2 or (ring and id = component)").select(SCENE, "id", "degree")
 
 
-def chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """(scene, path array of nodes, length, closed): the maximal chains of edges through nodes of two edges.
 
-    A ring is closed and starts at its least node. Each chain has the direction whose first two nodes are the lesser. The
+    ends (scene, id): the nodes at which chains end, by default the terminals; all others must have two edges and lie on no ring. A ring is closed and starts at its least node. Each chain has the direction whose first two nodes are the lesser. The
     edges of a chain are ranked by pointer doubling: a round joins each half edge with what its pointer has reached, so the number of
     rounds is logarithmic in the longest chain.
     """
-    ends = stored(terminals(nodes, edges).select(SCENE, "id"), "terminals")
+    ends = stored((terminals(nodes, edges) if ends is None else ends).select(SCENE, "id"), "terminals")
     half = both_ends(edges).select(SCENE, F.col("id").alias("a"), F.col("other").alias("b"), "length")
     stop = ends.select(SCENE, F.col("id").alias("b"), F.lit(True).alias("stop"))
     onward = half.select(SCENE, F.col("a").alias("b"), F.col("b").alias("c"))
