@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import quoted
 from .pieces import encoder, slices
 
 #: A chunk ends where the rolling hash of the last 16 bytes has CHUNK_BITS zero bits: about 2 ** CHUNK_BITS bytes apart.
@@ -152,9 +153,11 @@ FIELDS = {
 
 
 def _encode(docs: DataFrame, path: str, text: str, want: list[str]) -> DataFrame:
-    kept = [c for c in docs.columns if c not in FIELDS]
-    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(docs, path, text))
-    schema = T.StructType([*(docs.schema[c] for c in kept), *(T.StructField(c, FIELDS[c][0]) for c in want)])
+    own = [c for c in docs.columns if c.lower() not in FIELDS]
+    kept = [f"c{i}" for i in range(len(own))]
+    rows = docs.select(*map(quoted, own), quoted(text).cast("binary")).toDF(*kept, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(shared_chunks(rows, path, "text"))
+    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, FIELDS[c][0]) for c in want)])
 
     def run(batches):
         enc = encoder(path, CACHE_PIECES)
@@ -171,7 +174,7 @@ def _encode(docs: DataFrame, path: str, text: str, want: list[str]) -> DataFrame
                         )
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(kept))), *(pa.array(made[c], FIELDS[c][1]) for c in want)], [*kept, *want])
 
-    return docs.select(*kept, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*own, *want)
 
 
 def encode_texts(enc, shared: dict, texts: list[bytes]) -> list[bytes]:

@@ -6,7 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import lookup
+from .common import lookup, stored
+
+#: So many sources' rates at most are sent to every task, under 10 MB; rates of more sources are joined.
+SENT_SOURCES = 10_000
 
 #: A larger mean is the sum of that many equal means below it, each with a draw of its own.
 MEAN_STEP = 16.0
@@ -56,21 +59,27 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
     each for itself unless they repeat the text too. Result: all columns of docs, copy (from 1; replaced if docs has it)
     and position (in [0, 1)): rows are dealt to partitions at random and sorted by position within them, so that sorting by
     position gives one global shuffle of all rows. A null source is a source named by an empty text; a null key is a key,
-    a null text an empty one. No documents, or no weights for their sources, give no rows.
+    a null text an empty one. docs should read its rows alike each time, as files and stored tables do. No documents, or no weights for their sources, give no rows.
     """
     own = [i for i, c in enumerate(docs.columns) if c.lower() not in ("copy", "position")]
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = {c: F.col(names[docs.columns.index(c)]) for c in (source, key, text)}
     rows = rows.select(*(names[i] for i in own), F.coalesce(at[source], F.lit("")).alias("__source"), F.concat_ws(":", F.coalesce(at[key].cast("string"), F.lit("null")), F.md5(F.coalesce(at[text], F.lit("")))).alias("__name"))
-    rows = lookup(rows, rates(rows, weights, total, "__source"), "__source", "__n", docs.count())
+    # numbered where the documents are read: behind a shuffle, a task that runs again would number them in another order
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    known = stored(rates(rows, weights, total, "__source"), "rates")
+    if known.count() <= SENT_SOURCES:
+        rows = rows.join(F.broadcast(known), "__source")
+    else:
+        rows = lookup(rows, known, "__source", "__n", docs.count())
     draw = lambda j: F.size(F.filter("__limits", lambda p: p <= uniform(str(seed), F.col("__name"), j.cast("string"))))
     # the limits are ascending, so the copies are those that lie up to the draw
     n = F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda acc, j: acc + draw(j))
     rows = rows.withColumn("__copies", n).where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     rows = rows.withColumn("position", uniform(f"{seed}-place", F.col("__name"), F.col("copy").cast("string")))
     # copies of one row stand at one place each; rows that repeat key and text are dealt apart by a number of their own
-    rows = rows.repartition(F.col("position"), F.monotonically_increasing_id()).sortWithinPartitions("position")
+    rows = rows.repartition(F.col("position"), F.col("__row")).sortWithinPartitions("position")
     return rows.select(*(names[i] for i in own), "copy", "position").toDF(*(docs.columns[i] for i in own), "copy", "position")
 
 

@@ -30,7 +30,13 @@ PLAIN = re.compile("[^\x85\xa0\u0130\u0250-\U0010ffff]*")
 WORD_END = "</w>"
 #: What the file must say for pieces to stand alone (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [{"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": WORD_END, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
 
 
 class PieceEncoder:
@@ -67,12 +73,11 @@ class PieceEncoder:
 
     @staticmethod
     def supported(spec: dict) -> bool:
-        normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        split = cuts[0].get("pattern", {}).get("Regex") if len(cuts) == 2 else None
-        model = spec["model"]
-        plain = spec.get("decoder") is None and spec.get("post_processor") is None and not model.get("dropout") and not model.get("ignore_merges")
-        return plain and normal == NORMALIZERS and split == PATTERN and cuts[1].get("type") == "ByteLevel" and model.get("end_of_word_suffix") == WORD_END
+        same = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER and spec.get("decoder") is None and spec.get("post_processor") is None
+        model = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")} == MODEL
+        # an added token with white space in it would stand in no piece
+        added = all({k: x.get(k) for k in ADDED} == ADDED and x["content"] and not re.search(r"\s", x["content"]) for x in spec["added_tokens"])
+        return same and model and added
 
     def words(self, piece: str) -> list[str] | None:
         """The pre-tokens of a piece, or None where only the whole library gives them."""

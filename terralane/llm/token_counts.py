@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
+from .common import quoted
 from .pieces import slices
 
 #: What stands for a space at the start of a word (fixed value of the piece vocabulary).
@@ -41,39 +42,41 @@ class Counter:
             if piece:
                 self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
+        self.longest = max((len(p) for p, _ in vocab), default=1)
         self.unknown = min(s for _, s in vocab) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in {p for p, _ in vocab} for b in range(256))
         self.cache: dict[str, int] = {}
 
     def count(self, word: str) -> int:
-        n = len(word)
-        score = [0.0] * (n + 1)
-        start = [-1] * (n + 1)
-        known = [False] * (n + 1)
-        pieces = [0] * (n + 1)  # without the unknown run that ends here
-        run = [0] * (n + 1)  # bytes of the unknown run that ends here
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (length, s) in self.machine.iter(word):
-            matches[end + 1].append((length, s))
-        for end in range(1, n + 1):
-            found = sorted(matches[end], reverse=True)  # longest first: ascending start
+        # only as many ends as the longest piece are looked back at, so a word of any length takes as much memory
+        size = self.longest + 1
+        score, pieces = [0.0] * size, [0] * size  # pieces: without the unknown run that ends there
+        run = [0] * size  # bytes of the unknown run that ends there
+        matches = self.machine.iter(word)
+        end_at, match = next(matches, (-1, None))
+        for end in range(1, len(word) + 1):
+            found = []
+            while end_at == end - 1:
+                found.append(match)
+                end_at, match = next(matches, (-1, None))
+            found.sort(reverse=True)  # longest first: ascending start
             best = None
             for length, s in found:
-                total = score[end - length] + s
+                total = score[(end - length) % size] + s
                 if best is None or total > best[0]:
-                    best = (total, end - length, True)
+                    best = (total, length, True)
             if not found or found[-1][0] != 1:  # no piece covers the last character alone
-                total = score[end - 1] + self.unknown
+                total = score[(end - 1) % size] + self.unknown
                 if best is None or total > best[0]:
-                    best = (total, end - 1, False)
-            score[end], start[end], known[end] = best
-            at = start[end]
-            if known[end]:
-                pieces[end] = pieces[at] + self.closed(run[at]) + 1
+                    best = (total, 1, False)
+            i, at = end % size, (end - best[1]) % size
+            score[i] = best[0]
+            if best[2]:
+                pieces[i], run[i] = pieces[at] + self.closed(run[at]) + 1, 0
             else:
-                pieces[end] = pieces[at]
-                run[end] = run[at] + len(word[end - 1].encode())
-        return pieces[n] + self.closed(run[n])
+                pieces[i], run[i] = pieces[at], run[at] + len(word[end - 1].encode())
+        i = len(word) % size
+        return pieces[i] + self.closed(run[i])
 
     def closed(self, run: int) -> int:
         return (run if self.bytes else 1) if run else 0
@@ -113,8 +116,10 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     its Metaspace pre-tokenizer. A null or empty text has 0. Each row gives one row with its other columns; an n_tokens
     column of the input is replaced. No rows give no rows.
     """
-    kept = [c for c in docs.columns if c != "n_tokens"]
-    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_tokens", T.LongType())])
+    columns = [c for c in docs.columns if c.lower() != "n_tokens"]
+    kept = [f"c{i}" for i in range(len(columns))]
+    rows = docs.select(*map(quoted, columns), quoted(text)).toDF(*kept, "text")
+    schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("n_tokens", T.LongType())])
 
     def run(batches):
         own = counter(path)
@@ -124,4 +129,4 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 counts = [own.text(t or "") for t in column.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(kept))), pa.array(counts, pa.int64())], [*kept, "n_tokens"])
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*columns, "n_tokens")

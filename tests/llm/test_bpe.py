@@ -69,3 +69,32 @@ def test_whole_table(spark):
     for r in docs.collect():
         ids, decoded = expected(r.text)
         assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("change", ["normalizer", "prefix", "added", "suffix"])
+def test_altered_tokenizer_files_are_refused(tmp_path, change):
+    import json
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f:
+        spec = json.load(f)
+    if change == "normalizer":
+        spec["normalizer"]["normalizers"][1] = {"type": "Replace", "pattern": {"String": "x"}, "content": "y"}
+    elif change == "prefix":
+        spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+    elif change == "added":
+        spec["added_tokens"].append({**spec["added_tokens"][0], "id": 49408, "content": "new york"})
+    else:
+        spec["model"]["fuse_unk"] = True
+    path = tmp_path / "altered.json"
+    path.write_text(json.dumps(spec))
+    from terralane.llm.pieces import PieceEncoder
+
+    with pytest.raises(ValueError):
+        PieceEncoder(str(path))
+
+
+def test_odd_column_names(spark):
+    docs = table(spark, [(1, "two words"), (2, None)]).selectExpr("doc_id", "text", "lang as `__text`", "source as `a.b`", "n_chars as `IDS`")
+    out = bpe.encode(docs.withColumn("x`y", docs["doc_id"]), public_tokenizers.path("word_bpe_49k.json"))
+    assert out.columns == ["doc_id", "text", "__text", "a.b", "x`y", "ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256"]
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {1: 2, 2: 0}

@@ -113,3 +113,20 @@ def test_line_dedup(spark, monkeypatch, sent):
     assert got == sorted(want)
     assert any(w[4] for w in want)
     assert line_dedup.line_dedup(table(spark, [])).collect() == []
+
+
+def test_the_deal_numbers_rows_where_they_are_read(spark, monkeypatch):
+    rows = [(i % 5, "same text", "en", f"s{i % 3}", 9) for i in range(300)]
+    docs = table(spark, rows)
+    sent = mixing.mix(docs, total=900)
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 0)
+    joined = mixing.mix(docs, total=900)
+    for out in (sent, joined):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # the number is a column of the rows below the joins, not made behind a shuffle
+        lines = plan.splitlines()
+        deal = next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x)
+        number = next(i for i, x in enumerate(lines) if "monotonically_increasing_id" in x)
+        join = next(i for i, x in enumerate(lines) if "Join" in x)
+        assert deal < join < number
+    assert sorted(map(str, sent.collect())) == sorted(map(str, joined.collect()))

@@ -56,3 +56,21 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     for r in tc.token_counts(docs, PATH).collect():
         assert r.n_tokens == expected(r.text)
+
+
+def test_long_words_take_little_memory():
+    import tracemalloc
+
+    own = tc.counter(PATH)
+    word = "abé日thing" * 250_000
+    assert own.count(tc.MARK + word[:9000]) == expected(word[:9000])
+    tracemalloc.start()
+    n = own.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000 and n > 250_000
+    tracemalloc.stop()
+
+
+def test_odd_column_names(spark):
+    docs = table(spark, [(1, "two words"), (2, None)]).selectExpr("doc_id", "text", "lang as `__text`", "source as `a.b`", "n_chars as N_TOKENS")
+    out = tc.token_counts(docs, PATH)
+    assert out.columns == ["doc_id", "text", "__text", "a.b", "n_tokens"] and {r.doc_id: r.n_tokens for r in out.collect()} == {1: expected("two words"), 2: 0}
