@@ -93,20 +93,32 @@ def chain_ends(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame
     return rows
 
 
-def prune_spurs(nodes: DataFrame, edges: DataFrame, cells: DataFrame, max_length: float = 25.0, mean: float = 0.2, p10: float = 0.1, small: int = 10, threshold: float = 0.2) -> DataFrame:
-    """The edges less those of short terminal chains with low evidence (mean and 10 % quantile of the cells along the chain).
+def prune_spurs(nodes: DataFrame, edges: DataFrame, cells: DataFrame, max_length: float = 25.0, mean: float = 0.2, p10: float = 0.15, small: int = 10, confidence: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """The nodes and edges less short terminal chains with low evidence: mean and 10 % quantile of the cells along the chain's lines.
 
-    A chain must hang on a junction or be in a component of at most `small` nodes. A sample without a cell counts as 0.
+    A chain must hang on a junction or be in a component of at most `small` nodes. A sample without a cell counts as 0; a scene without any cell gives no evidence, and all its
+    chains stay, as do those whose edges' mean confidence (a column of edges, missing ones left out) reaches `confidence`. Nodes that lose all their edges go too.
     """
+    from .refine import edge_lines, segments
+
     short = chain_ends(chains(nodes, edges).where(F.col("length") < max_length), nodes, edges).where("d_first = 1 or d_last = 1")
-    size = components(nodes, edges).withColumn("n", F.lit(1))
+    size = components(nodes, edges)
     size = size.join(size.groupBy(SCENE, "component").agg(F.count(F.lit(1)).alias("members")), [SCENE, "component"]).select(SCENE, "id", "members")
     short = short.withColumn("id", F.col("path")[0]).join(size, [SCENE, "id"]).where((F.col("d_first") >= 3) | (F.col("d_last") >= 3) | (F.col("members") <= small))
-    e = with_ends(nodes, chain_edges(short.select(SCENE, F.col("path").alias("chain"), "path")).select(SCENE, "chain", "u", "v"))
-    at = line_samples(e).join(cells.select(SCENE, "x", "y", "value"), [SCENE, "x", "y"], "left").fillna({"value": 0.0})
+    short = short.join(cells.select(SCENE).distinct(), SCENE, "left_semi")
+    held = stored(chain_edges(short.select(SCENE, F.col("path").alias("chain"), "path")).select(SCENE, "chain", "u", "v"), "spurs")
+    known = edges.select(SCENE, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), *([F.col("confidence").cast("double").alias("c")] if "confidence" in edges.columns else [F.lit(None).cast("double").alias("c")]))
+    sure = held.join(known, [SCENE, "u", "v"]).groupBy(SCENE, "chain").agg(F.avg("c").alias("c")).where(F.round("c", 9) >= confidence).select(SCENE, "chain")
+    lines = edge_lines(nodes, edges).select(SCENE, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "polyline")
+    parts = segments(held.join(lines, [SCENE, "u", "v"]).select(SCENE, F.col("chain").alias("u"), F.struct("u", "v").alias("v"), "polyline")).withColumnRenamed("u", "chain")
+    at = line_samples(parts).join(cells.select(SCENE, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), "value"), [SCENE, "x", "y"], "left").fillna({"value": 0.0})
     low = at.groupBy(SCENE, "chain").agg(F.avg("value").alias("m"), F.percentile("value", F.lit(0.1)).alias("q")).where((F.col("m") < mean) & (F.col("q") < p10))
-    gone = chain_edges(low.select(SCENE, F.col("chain").alias("path"))).select(SCENE, "u", "v")
-    return edges.join(gone, [SCENE, "u", "v"], "left_anti")
+    gone = stored(held.join(low.select(SCENE, "chain"), [SCENE, "chain"], "left_semi").join(sure, [SCENE, "chain"], "left_anti").select(SCENE, "u", "v"), "gone")
+    e = edges.withColumn("__a", F.least("u", "v")).withColumn("__b", F.greatest("u", "v"))
+    left = e.join(gone.select(SCENE, F.col("u").alias("__a"), F.col("v").alias("__b")), [SCENE, "__a", "__b"], "left_anti").select(*edges.columns)
+    met = gone.select(SCENE, F.explode(F.array("u", "v")).alias("id")).distinct()
+    alone = met.join(both_ends(left.select(SCENE, "u", "v")).select(SCENE, "id"), [SCENE, "id"], "left_anti")
+    return nodes.join(alone, [SCENE, "id"], "left_anti"), left
 
 
 def leaf_branches(nodes: DataFrame, edges: DataFrame, max_nodes: int, min_length: float, max_length: float) -> DataFrame:
@@ -181,10 +193,14 @@ def decisions(candidates: DataFrame, c1: Column, chord: Column, shortcut: Column
 
 
 def choose_config(rows: DataFrame) -> DataFrame:
-    """Of (config, retention, kept) rows the config with the best least, then mean retention, then the least mean kept share, then the least config; the row counts come along."""
+    """Of (config, retention, kept) rows the config with the best least, then mean retention, then the least mean kept share, then the least config; the row counts come along.
+
+    config is of any type that has an order, as the names of a sweep.
+    """
     by = rows.groupBy("config").agg(F.min("retention").alias("worst"), F.avg("retention").alias("mean"), F.avg("kept").alias("kept"), F.count(F.lit(1)).alias("runs"))
-    best = by.agg(F.max(F.struct(F.round("worst", 9).alias("w"), F.round("mean", 9).alias("m"), (-F.round("kept", 9)).alias("k"), (-F.col("config")).alias("c"))).alias("b"))
-    return by.join(F.broadcast(best), F.col("config") == -F.col("b.c")).drop("b")
+    order = F.struct((-F.round("worst", 9)).alias("w"), (-F.round("mean", 9)).alias("m"), F.round("kept", 9).alias("k"), "config")
+    best = by.agg(F.min(F.struct(order.alias("o"), "config", "worst", "mean", "kept", "runs")).alias("b")).where("b is not null")
+    return best.select("b.config", "b.worst", "b.mean", "b.kept", "b.runs")
 
 
 def crossing_audit(paths: DataFrame, nodes: DataFrame, edges: DataFrame, side: float = 100.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geom
 from ..functions.spatial import near_segments
-from ..plans.scratch import stored
+from ..plans.scratch import free, stored
 from .graph import SCENE, both_ends, with_ends
 
 SAME_NODE = 1e-6
@@ -21,11 +21,26 @@ def edge_cost(length: Column, confidence: Column | None = None, weight: float =
 
 
 def project_points(points: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
-    """(scene, id, u, v, t, distance): each point's nearest edge within the limit, equal ones by u and v; points without one are left out."""
-    e = with_ends(nodes, edges.select(SCENE, "u", "v"))
-    near = near_segments(points.select(SCENE, "id", "x", "y"), e, limit, SCENE)
-    rank = F.row_number().over(Window.partitionBy(SCENE, "id").orderBy(F.round("distance", 9), "u", "v"))
-    return near.withColumn("k", rank).where("k = 1").select(SCENE, "id", "u", "v", "t", "distance")
+    """(scene, id, u, v, t, distance): each point's nearest edge within the limit, equal ones by u and v; points without one are left out.
+
+    Edges with a polyline are met along it. t is the share of the edge's length from u on; a place within SAME_NODE of an end is that end (0 or 1).
+    """
+    from .refine import edge_lines, segments
+
+    e = edge_lines(nodes, edges)
+    length = geom.distance("x0", "y0", "x1", "y1")
+    if "polyline" in edges.columns:
+        whole = e.select(SCENE, "u", "v", geom.arc_length(F.col("polyline")).alias("whole"))
+        before = F.coalesce(F.sum(length).over(Window.partitionBy(SCENE, "u", "v").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        parts = segments(e).withColumn("before", before).join(whole, [SCENE, "u", "v"])
+    else:
+        parts = segments(e).withColumns({"before": F.lit(0.0), "whole": length})
+    near = near_segments(points.select(SCENE, "id", "x", "y"), parts, limit, SCENE)
+    at = F.col("before") + F.col("t") * length
+    place = F.when(at <= SAME_NODE, 0.0).when(at >= F.col("whole") - SAME_NODE, 1.0).otherwise(at / F.col("whole"))
+    rank = F.row_number().over(Window.partitionBy(SCENE, "id").orderBy(F.round("distance", 9), "u", "v", "k"))
+    near = near.withColumn("place", place).withColumn("rank", rank).where("rank = 1")
+    return near.select(SCENE, "id", "u", "v", F.col("place").alias("t"), "distance")
 
 
 def attach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float) -> DataFrame:
@@ -38,33 +53,64 @@ def attach(pairs: DataFrame, nodes: DataFrame, edges: DataFrame, limit: float) -
 
 
 def routes(attached: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
-    """(scene, id, success, length, failure) of attached pairs: shortest paths of all pairs at once.
+    """(scene, id, success, length, failure, path) of attached pairs: shortest paths of all pairs at once.
 
     Each round relaxes only the nodes that the round before has improved and that may still beat the pair's best
-    goal distance, keeps the least distance of each (pair, node) and ends when nothing improves. A pair holds its own
+    goal distance, keeps the least distance of each (pair, node) with the node before it, and ends when nothing improves. A pair holds its own
     distances, so the graph isn't changed by the temporary nodes; both ends on one edge also try the way along it.
+    path has the graph's nodes between start and goal in order; it is empty for a way along one edge and null without a route.
     """
     ok = attached.where("s is not null and g is not null")
     w = edges.select(SCENE, "u", "v", F.col(cost).alias("w"))
     ends = lambda e: ok.select(SCENE, "id", F.col(f"{e}.u").alias("u"), F.col(f"{e}.v").alias("v"), F.col(f"{e}.t").alias("t")).join(w, [SCENE, "u", "v"])
     around = lambda e: ends(e).select(SCENE, "id", F.explode(F.array(F.struct(F.col("u").alias("node"), (F.col("t") * F.col("w")).alias("d")), F.struct(F.col("v").alias("node"), ((1 - F.col("t")) * F.col("w")).alias("d")))).alias("a")).select(SCENE, "id", "a.node", "a.d")
     goals = stored(around("g").withColumnRenamed("d", "rest"), "goals")
-    direct = ok.where("s.u = g.u and s.v = g.v").select(SCENE, "id", F.col("s.u").alias("u"), F.col("s.v").alias("v"), F.abs(F.col("s.t") - F.col("g.t")).alias("dt")).join(w, [SCENE, "u", "v"]).select(SCENE, "id", (F.col("dt") * F.col("w")).alias("best"))
+    direct = ok.where("s.u = g.u and s.v = g.v").select(SCENE, "id", F.col("s.u").alias("u"), F.col("s.v").alias("v"), F.abs(F.col("s.t") - F.col("g.t")).alias("dt")).join(w, [SCENE, "u", "v"])
+    direct = stored(direct.select(SCENE, "id", F.struct((F.col("dt") * F.col("w")).alias("d"), F.lit(None).cast("long").alias("node")).alias("end")), "direct")
     both = stored(both_ends(w), "both")
-    known = stored(around("s").groupBy(SCENE, "id", "node").agg(F.min("d").alias("d")), "known")
-    front = known
+    known = stored(around("s").groupBy(SCENE, "id", "node").agg(F.min("d").alias("d")).withColumn("parent", F.lit(None).cast("long")), "known")
+    front, spent = known, []
     while True:
-        reached = known.join(goals, [SCENE, "id", "node"]).select(SCENE, "id", (F.col("d") + F.col("rest")).alias("best")).unionByName(direct)
-        best = stored(reached.groupBy(SCENE, "id").agg(F.min("best").alias("best")), "best")
+        reached = known.join(goals, [SCENE, "id", "node"]).select(SCENE, "id", F.struct((F.col("d") + F.col("rest")).alias("d"), "node").alias("end")).unionByName(direct)
+        best = stored(reached.groupBy(SCENE, "id").agg(F.min("end").alias("end")), "best")
         if front.isEmpty():
             break
-        step = front.join(best, [SCENE, "id"], "left").where("best is null or d < best").join(both, (F.col("node") == both["id"]) & (front[SCENE] == both[SCENE]))
-        step = step.select(front[SCENE], front["id"], F.col("other").alias("node"), (F.col("d") + F.col("w")).alias("n")).groupBy(SCENE, "id", "node").agg(F.min("n").alias("n"))
-        merged = stored(known.join(step, [SCENE, "id", "node"], "full_outer").select(SCENE, "id", "node", F.least("d", "n").alias("d"), F.coalesce(F.col("n") < F.col("d") - 1e-12, F.col("d").isNull()).alias("better")), "known")
+        step = front.join(best, [SCENE, "id"], "left").where("end is null or d < end.d").join(both, (F.col("node") == both["id"]) & (front[SCENE] == both[SCENE]))
+        step = step.select(front[SCENE], front["id"], F.col("other").alias("node"), F.struct((F.col("d") + F.col("w")).alias("n"), F.col("node").alias("back")).alias("to")).groupBy(SCENE, "id", "node").agg(F.min("to").alias("to"))
+        better = F.coalesce(F.col("to.n") < F.col("d") - 1e-12, F.col("d").isNull())
+        merged = stored(known.join(step, [SCENE, "id", "node"], "full_outer").select(SCENE, "id", "node", F.when(better, F.col("to.n")).otherwise(F.col("d")).alias("d"), F.when(better, F.col("to.back")).otherwise(F.col("parent")).alias("parent"), better.alias("better")), "known")
+        spent += [best, known if not hasattr(known, "whole") else known.whole]
         known, front = merged.drop("better"), merged.where("better").drop("better")
-    out = attached.join(best, [SCENE, "id"], "left")
-    failure = F.when(F.col("s").isNull() | F.col("g").isNull(), "projection").when(F.col("best").isNull(), "disconnected")
-    return out.select(SCENE, "id", F.col("best").isNotNull().alias("success"), F.col("best").alias("length"), failure.alias("failure"))
+        known.whole = merged
+    paths = walked_back(best.where("end.node is not null").select(SCENE, "id", "end.node"), known)
+    out = attached.join(best, [SCENE, "id"], "left").join(paths, [SCENE, "id"], "left")
+    failure = F.when(F.col("s").isNull() | F.col("g").isNull(), "projection").when(F.col("end").isNull(), "disconnected")
+    path = F.when(F.col("end").isNotNull(), F.coalesce("path", F.array().cast("array<long>")))
+    free(*spent)
+    return out.select(SCENE, "id", F.col("end").isNotNull().alias("success"), F.col("end.d").alias("length"), failure.alias("failure"), path.alias("path"))
+
+
+def walked_back(goals: DataFrame, known: DataFrame) -> DataFrame:
+    """(scene, id, path) from the nodes (scene, id, node) back over `parent` to a node without one, in order from there.
+
+    Jumps over 1, 2, 4, ... parents are made by joining the jumps before with themselves; then each jump, longest first, doubles the
+    places that are known, so both take a number of joins logarithmic in the longest path.
+    """
+    own = known.join(goals.select(SCENE, "id").distinct(), [SCENE, "id"], "left_semi")
+    jumps = [stored(own.where("parent is not null").select(SCENE, "id", "node", F.col("parent").alias("to")), "jumps")]
+    while True:
+        ahead = jumps[-1].select(SCENE, "id", F.col("node").alias("to"), F.col("to").alias("far"))
+        longer = stored(jumps[-1].join(ahead, [SCENE, "id", "to"]).select(SCENE, "id", "node", F.col("far").alias("to")), "jumps")
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    places = stored(goals.select(SCENE, "id", "node", F.lit(0).cast("long").alias("back")), "places")
+    for k in reversed(range(len(jumps))):
+        on = places.join(jumps[k], [SCENE, "id", "node"]).select(SCENE, "id", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        before, places = places, stored(places.unionByName(on), "places")
+        free(before, jumps[k])
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), "node")))
+    return places.groupBy(SCENE, "id").agg(F.transform(steps, lambda s: s["node"]).alias("path"))
 
 
 def route_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -52,7 +52,9 @@ def _(t):
 
 @query("g8_prune_spurs")
 def _(t):
-    return rounded(op.prune_spurs(nodes(t), edges(t), cells(t).crossJoin(F.broadcast(nodes(t).select("scene_id").distinct()))))
+    # one raster for all scenes but the last, which has none
+    scenes = nodes(t).select("scene_id").distinct().where("scene_id < 9")
+    return rounded(op.prune_spurs(nodes(t), edges(t), cells(t).crossJoin(F.broadcast(scenes)))[1])
 
 
 @query("g10_sweep", CHAINS + """, m AS (SELECT scene_id, component FROM (SELECT scene_id, component, row_number() OVER (PARTITION BY scene_id ORDER BY count(*) DESC, component) AS k FROM co GROUP BY 1, 2) WHERE k = 1),

@@ -103,11 +103,11 @@ def _(t):
 
 
 @query("i11_cluster_bootstrap", f"""WITH {LM}, s AS (SELECT line_id, count(*) AS n, coalesce(sum(best), 0) AS best, coalesce(sum(small), 0) AS small FROM lm GROUP BY 1), d AS (SELECT *, row_number() OVER (ORDER BY line_id) - 1 AS k FROM s), c AS (SELECT count(*) AS m FROM s),
-dr AS (SELECT rep, ('0x' || substr(sha256('5:' || rep || ':' || i), 1, 8))::BIGINT % m AS k FROM c, range(0, 2000) r(rep), range(0, 25) q(i) WHERE i < m), rp AS (SELECT rep, sum(best) / sum(n) AS best, sum(small) / sum(n) AS small FROM dr JOIN d USING (k) GROUP BY 1)
+dr AS (SELECT rep, ('0x' || substr(sha256('5:' || rep || ':' || i), 1, 8))::BIGINT % m AS k FROM c, range(0, 10000) r(rep), range(0, 25) q(i) WHERE i < m), rp AS (SELECT rep, sum(best) / sum(n) AS best, sum(small) / sum(n) AS small FROM dr JOIN d USING (k) GROUP BY 1)
 SELECT 'best' AS metric, (SELECT round(sum(best) / sum(n), 6) FROM s) AS estimate, round(quantile_cont(best, 0.025), 6) AS low, round(quantile_cont(best, 0.975), 6) AS high FROM rp UNION ALL SELECT 'small', (SELECT round(sum(small) / sum(n), 6) FROM s), round(quantile_cont(small, 0.025), 6), round(quantile_cont(small, 0.975), 6) FROM rp""")
 def _(t):
     m = measured(t).select("line_id", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("small", F.lit(0.0)).alias("small"))
-    return rounded(op.cluster_bootstrap(m, ["best", "small"], 2000, 5))
+    return rounded(op.cluster_bootstrap(m, ["best", "small"], 10000, 5))
 
 
 @query("i12_tolerance_sensitivity", f"WITH {LM} SELECT 1 AS radius, count(*) AS samples, round(count(*) FILTER (small >= 0.55) / count(*), 6) AS recall FROM lm UNION ALL SELECT 3, count(*), round(count(*) FILTER (best >= 0.55) / count(*), 6) FROM lm")
@@ -131,13 +131,13 @@ def _(t):
     return rounded(op.quantile_profile(measured(t), "small", "best"))
 
 
-@query("i16_coverage_of_failures", """WITH RECURSIVE """ + GRAPH + """, f AS (SELECT scene_id, id, CASE WHEN id % 2 = 0 THEN 'projection' ELSE 'disconnected' END AS failure, x AS sx, y AS sy, -x AS gx, -y AS gy, id % 6 AS cs, id % 4 AS cg FROM pts WHERE id % 3 = 0), p AS (SELECT scene_id, id, x, y, id % 5 AS ca, id % 7 AS cb FROM pts WHERE id % 3 = 1)
+@query("i16_coverage_of_failures", """WITH RECURSIVE """ + GRAPH + """, f AS (SELECT scene_id, id, CASE WHEN id % 2 = 0 THEN 'projection' ELSE 'disconnected' END AS failure, x AS sx, y AS sy, -x AS gx, -y AS gy, id % 6 AS cs, id % 4 AS cg FROM pts), p AS (SELECT scene_id, id, x, y, id % 5 AS ca, id % 7 AS cb FROM pts)
 SELECT scene_id, id, failure, (SELECT count(*) FROM p WHERE p.scene_id = f.scene_id AND sqrt((p.x-sx)**2 + (p.y-sy)**2) <= 40) AS near_start, (SELECT count(*) FROM p WHERE p.scene_id = f.scene_id AND sqrt((p.x-gx)**2 + (p.y-gy)**2) <= 40) AS near_goal,
 EXISTS (SELECT 1 FROM p WHERE p.scene_id = f.scene_id AND ca <> cb AND least(ca, cb) = least(cs, cg) AND greatest(ca, cb) = greatest(cs, cg)) AS bridged FROM f""")
 def _(t):
     n = nodes(t)
-    f = n.where("id % 3 = 0").select("scene_id", "id", F.when(F.col("id") % 2 == 0, "projection").otherwise("disconnected").alias("failure"), F.col("x").alias("sx"), F.col("y").alias("sy"), (-F.col("x")).alias("gx"), (-F.col("y")).alias("gy"), (F.col("id") % 6).alias("cs"), (F.col("id") % 4).alias("cg"))
-    return op.coverage_of_failures(f, n.where("id % 3 = 1").select("*", (F.col("id") % 5).alias("ca"), (F.col("id") % 7).alias("cb")), 40.0)
+    f = n.select("scene_id", "id", F.when(F.col("id") % 2 == 0, "projection").otherwise("disconnected").alias("failure"), F.col("x").alias("sx"), F.col("y").alias("sy"), (-F.col("x")).alias("gx"), (-F.col("y")).alias("gy"), (F.col("id") % 6).alias("cs"), (F.col("id") % 4).alias("cg"))
+    return op.coverage_of_failures(f, n.select("*", (F.col("id") % 5).alias("ca"), (F.col("id") % 7).alias("cb")), 40.0)
 
 
 @query("i17_record_metrics", f"WITH {PRED}, c AS (SELECT lang, count(*) AS n, count(*) FILTER (target = 1 AND pred = 1) AS tp, count(*) FILTER (target <> 1 AND pred = 1) AS fp, count(*) FILTER (target = 1 AND pred <> 1) AS fn, count(*) FILTER (target <> 1 AND pred <> 1) AS tn FROM pr GROUP BY 1) SELECT *, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(fp / nullif(fp + tn, 0), 6) AS false_connection_rate FROM c")

@@ -107,7 +107,7 @@ def _(t):
 @query("d14_two_stage_forest")
 def _(t):
     rows = predictions(t).join(t.documents.select("doc_id", "n_chars"), "doc_id").select("doc_id", F.col("target").cast("double").alias("real"), (F.col("doc_id") % 2).cast("double").alias("connect"), F.col("n_chars").cast("double").alias("a"), "prob")
-    first, second = op.fit_two_stage(rows, ["a", "prob"], trees=20)
+    first, second = op.fit_two_stage(rows, ["a", "prob"])
     out = first.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("real"))
     return out.join(second.transform(rows).select("doc_id", F.col("prediction").cast("int").alias("connect")), "doc_id")
 

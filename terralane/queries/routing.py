@@ -11,13 +11,23 @@ from .graph import COMP, TABLE, W
 from .inputs import CELLS, cells, edges, nodes, rounded
 
 PAIRS = W + """, ed AS (SELECT g.*, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM g JOIN pts p ON p.scene_id = g.scene_id AND p.id = u JOIN pts q ON q.scene_id = g.scene_id AND q.id = v),
-pa AS (SELECT a.scene_id, a.id, a.x + 3 AS sx, a.y - 2 AS sy, b.x - 1 AS gx, b.y + 4 AS gy FROM pts a JOIN (SELECT scene_id, id, lead(id, 2) OVER (PARTITION BY scene_id ORDER BY id) AS nx FROM pts) n USING (scene_id, id) JOIN pts b ON b.scene_id = a.scene_id AND b.id = nx WHERE a.id % 3 = 0),
+pa AS (SELECT a.scene_id, a.id, a.x + 3 AS sx, a.y - 2 AS sy, b.x - 1 AS gx, b.y + 4 AS gy FROM pts a JOIN (SELECT scene_id, id, lead(id, 2) OVER (PARTITION BY scene_id ORDER BY id) AS nx FROM pts) n USING (scene_id, id) JOIN pts b ON b.scene_id = a.scene_id AND b.id = nx),
 en AS (SELECT scene_id, id, 's' AS e, sx AS x, sy AS y FROM pa UNION ALL SELECT scene_id, id, 'g', gx, gy FROM pa),
 tt AS (SELECT en.scene_id, id, e, u, v, x, y, x0, y0, x1, y1, length, greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / nullif((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0), 0))) AS t FROM en JOIN ed USING (scene_id)),
 dd AS (SELECT *, sqrt((x - x0 - coalesce(t, 0) * (x1-x0))**2 + (y - y0 - coalesce(t, 0) * (y1-y0))**2) AS distance FROM tt),
 pj AS (SELECT scene_id, id, e, u, v, coalesce(t, 0) AS t, distance, length FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, id, e ORDER BY round(distance, 9), u, v) AS k FROM dd WHERE distance <= 40) WHERE k = 1)"""
-PATHS = PAIRS + """, rs AS (SELECT scene_id, id, u AS node, t * length AS d, 0 AS hops FROM pj WHERE e = 's' UNION SELECT scene_id, id, v, (1 - t) * length, 0 FROM pj WHERE e = 's'),
-sp AS (SELECT DISTINCT scene_id, id, node, d FROM rs)"""
+#: Shortest distances of each pair to nodes, relaxed until nothing gets less, then what routes give.
+PATHS = "WITH RECURSIVE " + PAIRS.removeprefix("WITH RECURSIVE ").removeprefix("WITH ") + """,
+d(scene_id, id, node, c) USING KEY (scene_id, id, node) AS (
+  SELECT scene_id, id, node, min(c) FROM (SELECT scene_id, id, u AS node, t * length AS c FROM pj WHERE e = 's' UNION ALL SELECT scene_id, id, v, (1 - t) * length FROM pj WHERE e = 's') GROUP BY 1, 2, 3
+  UNION
+  SELECT n.scene_id, n.id, n.node, n.c FROM (SELECT d.scene_id, d.id, bo.other AS node, min(d.c + bo.length) AS c FROM d JOIN bo ON bo.scene_id = d.scene_id AND bo.id = d.node GROUP BY 1, 2, 3) n
+  LEFT JOIN recurring.d r ON r.scene_id = n.scene_id AND r.id = n.id AND r.node = n.node WHERE r.c IS NULL OR n.c < r.c - 1e-12),
+ar AS (SELECT d.scene_id, d.id, d.c + CASE WHEN d.node = pj.u THEN pj.t * pj.length ELSE (1 - pj.t) * pj.length END AS c FROM d JOIN pj ON pj.scene_id = d.scene_id AND pj.id = d.id AND pj.e = 'g' AND d.node IN (pj.u, pj.v)
+  UNION ALL SELECT a.scene_id, a.id, abs(a.t - b.t) * a.length FROM pj a JOIN pj b ON a.scene_id = b.scene_id AND a.id = b.id AND a.e = 's' AND b.e = 'g' AND a.u = b.u AND a.v = b.v),
+bs AS (SELECT scene_id, id, min(c) AS length FROM ar GROUP BY 1, 2),
+rs AS (SELECT pa.scene_id, pa.id, bs.length IS NOT NULL AS success, bs.length, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 'projection' WHEN bs.length IS NULL THEN 'disconnected' END AS failure
+  FROM pa LEFT JOIN bs ON bs.scene_id = pa.scene_id AND bs.id = pa.id LEFT JOIN pj a ON a.scene_id = pa.scene_id AND a.id = pa.id AND a.e = 's' LEFT JOIN pj b ON b.scene_id = pa.scene_id AND b.id = pa.id AND b.e = 'g')"""
 
 
 def pairs(t):
@@ -40,13 +50,17 @@ def project_starts(t, rows):
 
 @query("j1_project_points", PAIRS + " SELECT scene_id, id, u, v, round(t, 6) AS t, round(distance, 6) AS distance FROM pj WHERE e = 's'")
 def _(t):
-    # its SQL asks for these ids only; j1_project_all_points has every start
-    return project_starts(t, pairs(t).where("id % 3 = 0"))
+    return project_starts(t, pairs(t))
 
 
-@query("j1_project_all_points")
+@query("j1_project_all_points", PAIRS + " SELECT scene_id, id, e, u, v, round(t, 6) AS t, round(distance, 6) AS distance FROM pj")
 def _(t):
-    return project_starts(t, pairs(t))
+    out = None
+    for e in "sg":
+        p = pairs(t).select("scene_id", "id", F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"))
+        rows = op.project_points(p, nodes(t), edges(t), 40.0).withColumn("e", F.lit(e))
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out)
 
 
 @query("j2_edge_cost", W + " SELECT scene_id, u, v, round(length * (1 + 2 * (1 - CASE WHEN u % 4 = 0 THEN 1 ELSE (v % 10) / 10 END)), 6) AS cost FROM g")
@@ -55,12 +69,25 @@ def _(t):
     return rounded(edges(t).select("scene_id", "u", "v", op.edge_cost(F.col("length"), conf, 2.0).alias("cost")))
 
 
-@query("j3_routes")
+@query("j3_routes", PATHS + " SELECT scene_id, id, success, round(length, 6) AS length, failure, round(length, 6) AS walked FROM rs")
 def _(t):
-    return rounded(results(t))
+    """walked: the length of the edges of the path and of the ways to its ends."""
+    at = op.attach(pairs(t), nodes(t), edges(t), 40.0)
+    out = op.routes(at, edges(t))
+    e = edges(t).select("scene_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("length").alias("w"))
+    step = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.least(F.get("path", i - 1), F.get("path", i)).alias("u"), F.greatest(F.get("path", i - 1), F.get("path", i)).alias("v"))))
+    inner = out.where(F.size("path") > 1).select("scene_id", "id", step.alias("s")).select("scene_id", "id", "s.u", "s.v").join(e, ["scene_id", "u", "v"]).groupBy("scene_id", "id").agg(F.sum("w").alias("inner"))
+    rows = out.join(at.select("scene_id", "id", "s", "g"), ["scene_id", "id"]).join(inner, ["scene_id", "id"], "left")
+    for c, node in (("s", F.get("path", F.lit(0))), ("g", F.element_at("path", -1))):
+        rows = rows.withColumn(f"{c}u", F.col(f"{c}.u")).withColumn(f"{c}v", F.col(f"{c}.v"))
+        rows = rows.join(e.select("scene_id", F.col("u").alias(f"{c}u"), F.col("v").alias(f"{c}v"), F.col("w").alias(f"{c}w")), ["scene_id", f"{c}u", f"{c}v"], "left")
+        rows = rows.withColumn(f"{c}d", F.when(F.size("path") > 0, F.when(node == F.col(f"{c}.u"), F.col(f"{c}.t")).otherwise(1 - F.col(f"{c}.t")) * F.col(f"{c}w")))
+    straight = F.abs(F.col("s.t") - F.col("g.t")) * F.col("sw")
+    walked = F.when(F.size("path") > 0, F.col("sd") + F.col("gd") + F.coalesce("inner", F.lit(0.0))).when(F.col("success"), straight)
+    return rounded(rows.select("scene_id", "id", "success", "length", "failure", walked.alias("walked")))
 
 
-@query("j4_route_summary")
+@query("j4_route_summary", PATHS + """ SELECT scene_id, count(*) AS pairs, round(avg(success::INT), 6) AS success_rate, round(avg(success::INT) FILTER (id % 2 = 0), 6) AS reachable_rate, count(*) FILTER (failure = 'projection') AS projection_failures, count(*) FILTER (failure = 'disconnected') AS disconnected, round(avg(length) FILTER (success), 6) AS mean_length FROM rs GROUP BY 1""")
 def _(t):
     return rounded(op.route_summary(results(t).withColumn("expected_reachable", F.col("id") % 2 == 0), ["scene_id"]))
 
@@ -72,9 +99,9 @@ def _(t):
     return rounded(op.grid_edges(cells(t).withColumn("scene_id", F.lit(0)), 0.48).drop("scene_id"))
 
 
-@query("j8_outcome_examples")
+@query("j8_outcome_examples", PATHS + """, oc AS (SELECT *, CASE WHEN success THEN 'success' ELSE failure END AS outcome FROM rs) SELECT scene_id, id, success, round(length, 6) AS length, failure, outcome FROM (SELECT *, row_number() OVER (PARTITION BY scene_id, outcome ORDER BY id) AS k FROM oc) WHERE k = 1""")
 def _(t):
-    return rounded(op.outcome_examples(results(t), ["scene_id"]))
+    return rounded(op.outcome_examples(results(t).drop("path"), ["scene_id"]))
 
 
 @query("h1_disconnected_sources", TABLE + ", m AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY nodes DESC, component) AS k FROM ct) SELECT scene_id, component, nodes, endpoints, edges, round(length, 6) AS length, false AS is_main FROM m WHERE k > 1 AND nodes <= 6 AND length <= 200")
@@ -133,10 +160,10 @@ def scored(t):
 
 
 @query("h15_component_pairs", COMP + """, b AS (SELECT scene_id, component, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM co JOIN pts USING (scene_id, id) GROUP BY 1, 2),
-d AS (SELECT p.scene_id, p.component AS p, q.component AS q, sqrt(greatest(p.x0 - q.x1, q.x0 - p.x1, 0)**2 + greatest(p.y0 - q.y1, q.y0 - p.y1, 0)**2) AS d FROM b p JOIN b q ON p.scene_id = q.scene_id AND p.component <> q.component), k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, p ORDER BY round(d, 9), q) AS k FROM d WHERE d <= 100)
-SELECT scene_id, least(p, q) AS a, greatest(p, q) AS b, round(min(d), 6) AS distance FROM k WHERE k <= 3 GROUP BY 1, 2, 3""")
+d AS (SELECT p.scene_id, p.component AS p, q.component AS q, sqrt(greatest(p.x0 - q.x1, q.x0 - p.x1, 0)**2 + greatest(p.y0 - q.y1, q.y0 - p.y1, 0)**2) AS d FROM b p JOIN b q ON p.scene_id = q.scene_id AND p.component <> q.component), k AS (SELECT *, row_number() OVER (PARTITION BY scene_id, p ORDER BY round(d, 9), q) AS k FROM d WHERE d <= 250)
+SELECT scene_id, least(p, q) AS a, greatest(p, q) AS b, round(min(d), 6) AS distance FROM k WHERE k <= 10 GROUP BY 1, 2, 3""")
 def _(t):
-    return rounded(pr.component_pairs(nodes(t), edges(t), 100.0, 3))
+    return rounded(pr.component_pairs(nodes(t), edges(t), 250.0, 10))
 
 
 @query("h17_corridor_cost", f"WITH {CELLS} SELECT x, y, round(1 + 8 * power(1 - value, 2) + CASE WHEN value < 0.45 THEN 20 ELSE 0 END, 6) AS cost FROM cells")

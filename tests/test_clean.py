@@ -30,8 +30,27 @@ def test_spurs_go_only_without_evidence(spark):
     points = {0: (0, 0), 1: (20, 0), 2: (40, 0), 3: (20, 10), 4: (40, 10), 5: (60, 0)}
     nodes, edges = graph(spark, points, [(0, 1), (1, 2), (1, 3), (2, 4), (2, 5)])
     cells = spark.createDataFrame([(0, x, y, 0.9) for x in range(61) for y in (0,)] + [(0, 40, y, 0.9) for y in range(11)], "scene_id long, x long, y long, value double")
-    left = clean.prune_spurs(nodes, edges, cells, max_length=15.0, small=0)
+    kept, left = clean.prune_spurs(nodes, edges, cells, max_length=15.0, small=0)
     assert sorted((r.u, r.v) for r in left.collect()) == [(0, 1), (1, 2), (2, 4), (2, 5)]
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 4, 5]
+    # confident edges stay, and so does all without a raster
+    sure = edges.withColumn("confidence", F.when(F.col("v") == 3, 0.5).otherwise(0.0))
+    assert clean.prune_spurs(nodes, sure, cells, max_length=15.0, small=0)[1].count() == 5
+    unsure = edges.withColumn("confidence", F.when(F.col("v") == 3, 0.4))
+    assert clean.prune_spurs(nodes, unsure, cells, max_length=15.0, small=0)[1].count() == 4
+    other = cells.withColumn("scene_id", F.lit(7).cast("long"))
+    kept, left = clean.prune_spurs(nodes, edges, other, max_length=15.0, small=0)
+    assert left.count() == 5 and kept.count() == 6
+    # evidence is read along a bent edge's line, which leaves the cells of its ends
+    bent = edges.withColumn("polyline", F.when(F.col("v") == 4, F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((40, 0), (48, 5), (40, 10))))))
+    assert sorted((r.u, r.v) for r in clean.prune_spurs(nodes, bent, cells, max_length=15.0, small=0)[1].collect()) == [(0, 1), (1, 2), (2, 5)]
+
+
+def test_config_by_name_as_a_sweep_makes_them(spark):
+    rows = spark.createDataFrame([("base", 0.5, 0.5), ("base", 0.9, 0.5), ("k=2", 0.5, 0.4), ("k=2", 0.9, 0.5), ("a=3", 0.5, 0.4), ("a=3", 0.9, 0.5), ("b=9", 0.4, 0.0)], "config string, retention double, kept double")
+    (r,) = clean.choose_config(rows).collect()
+    assert (r.config, r.worst, r.runs) == ("a=3", 0.5, 2)
+    assert clean.choose_config(rows.limit(0)).collect() == []
 
 
 def test_contract_keeps_the_longer_parallel_edge_and_its_bends(spark):

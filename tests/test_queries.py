@@ -35,9 +35,13 @@ def test_query_agrees_with_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-SLOW = {"j3_routes", "j4_route_summary", "j8_outcome_examples"}
+#: Held against plain Python in tests of their own, on many small graphs.
+SLOW = {"g19_chord_removal", "g20_branch_duplicates", "g21_contract_corridors", "g22_edge_decisions"}
+#: Queries whose rows may be none on the smallest tables.
+MAY_BE_EMPTY = {"e16_axis_count"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_other_queries_run(spark, name):
-    assert QUERIES[name](spark, FOLDER).columns
+    rows = QUERIES[name](spark, FOLDER).toPandas()
+    assert len(rows.columns) and (len(rows) or name in MAY_BE_EMPTY)
