@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geom
 from ..functions.spatial import box_cells, near_points
@@ -273,3 +274,25 @@ def same_road(points: DataFrame, cells: DataFrame, distance: float = 50.0, degre
     pairs = pairs.where((F.least(turn, 180.0 - turn) <= degrees_) & (F.round(off, 9) <= lateral))
     support = corridor_support(pairs.select(SCENE, F.col("id_a").alias("u"), F.col("id_b").alias("v"), "x0", "y0", "x1", "y1"), cells)
     return components(points, support.where(F.col("corridor_over_01") >= share).select(SCENE, "u", "v")).withColumnRenamed("component", "cluster")
+
+
+def reject_by_axis(candidates: DataFrame, axis_angle: float = 20.0, anisotropy: float = 0.7, nearer: float = 0.8, same: float = 10.0, slack: float = 0.15) -> DataFrame:
+    """Directed candidates with distance, angle, side and c1_reason, null for those that stay.
+
+    candidates (scene, source, target, x0, y0, x1, y1 from source to target, axis in degrees and anisotropy of the source, support and gap of the corridor, score of the target). Each source with a
+    clear axis has two sides along it. On a side, what lies off the axis goes where an aligned candidate is as near or nearer (off_axis_redundant); of the aligned
+    ones, ordered by angle, distance, support and score (then least target), each but the first goes where another under `nearer` times as far lies within `same` degrees
+    and has no gap more than `slack` larger (same_branch_farther_neighbor). Sources of low anisotropy keep all.
+    """
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    ax, ay = F.cos(F.radians("axis")), F.sin(F.radians("axis"))
+    c = candidates.withColumn("distance", F.round(geom.distance("x0", "y0", "x1", "y1"), 9)).withColumn("angle", F.round(geom.axis_angle(dx, dy, ax, ay), 9))
+    c = c.withColumn("side", F.when(F.round(dx * ax + dy * ay, 9) >= 0, "forward").otherwise("backward"))
+    aligned = F.col("angle") <= axis_angle
+    here = Window.partitionBy(SCENE, "source", "side")
+    member = F.struct("angle", "distance", (-F.col("support")).alias("s"), (-F.coalesce("score", F.lit(0.0))).alias("c"), "target", "gap")
+    c = c.withColumn("__near", F.min(F.when(aligned, F.col("distance"))).over(here)).withColumn("__m", F.when(aligned, member)).withColumn("__all", F.collect_list("__m").over(here)).withColumn("__first", F.min("__m").over(here))
+    off = ~aligned & (F.col("distance") >= F.col("__near"))
+    better = F.exists("__all", lambda o: (o["distance"] < nearer * F.col("distance")) & (F.abs(o["angle"] - F.col("angle")) <= same) & (o["gap"] <= F.col("gap") + slack))
+    reason = F.when(F.col("anisotropy") >= anisotropy, F.when(off, "off_axis_redundant").when(aligned & (F.col("__m") != F.col("__first")) & better, "same_branch_farther_neighbor"))
+    return c.withColumn("c1_reason", reason).drop("__near", "__m", "__all", "__first")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geom
 from ..functions.spatial import near_segments
+from ..plans.scratch import stored
 
 
 def sample_lines(segments: DataFrame, spacing: float, by: Sequence[str] = ("scene_id", "line_id")) -> DataFrame:
@@ -215,3 +216,36 @@ def union_benchmarks(a: DataFrame, b: DataFrame, renames: dict[str, str], consta
     """Two benchmark tables under one set of column names; b's columns are renamed and get constants."""
     b = b.withColumnsRenamed(renames).withColumns({k: F.lit(v) for k, v in constants.items()})
     return a.unionByName(b, allowMissingColumns=True)
+
+
+def label_gaps(gaps: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: float = 8.0, detour: float = 1.3, by: str = "scene_id") -> DataFrame:
+    """(scene, id, label, reason, route_length, corridor) of bridges (scene, id, x0, y0, x1, y1) against ground-truth lines, edges with a polyline or straight ones.
+
+    Both ends are projected onto the nearest line: 0 where one is further than twice the tolerance (endpoint far from GT) or the scene has no line at all, -1 where one is further than it
+    (endpoint uncertain). The shortest way between both places, offsets on their lines included, must exist (0: GT components disconnected), be at most `detour` times the bridge plus twice the tolerance, and
+    keep its lines' points within twice the tolerance of the bridge (label 1), else -1. The way's points are those of whole lines between its nodes, or of the part between both places of one line.
+    """
+    from .refine import edge_lines
+    from .routing import attach, routes
+
+    lines = edge_lines(nodes, edges).withColumn("length", geom.arc_length(F.col("polyline")))
+    pairs = gaps.select(by, "id", F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.col("x1").alias("gx"), F.col("y1").alias("gy"))
+    at = stored(attach(pairs, nodes, lines, 2 * tolerance), "gaps")
+    sure = (F.round("s.distance", 9) <= tolerance) & (F.round("g.distance", 9) <= tolerance)
+    found = stored(routes(at.where(sure), lines), "gap_routes")
+    bridge = [F.col(c) for c in ("sx", "sy", "gx", "gy")]
+    away = F.max(geom.segment_distance(F.col("p.x"), F.col("p.y"), *bridge)).alias("corridor")
+    step = F.explode(F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.get("path", i - 1).alias("p"), F.get("path", i).alias("q"))))
+    whole = lines.select(by, F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "polyline")
+    inner = found.where(F.size("path") > 1).select(by, "id", step.alias("e")).select(by, "id", F.least("e.p", "e.q").alias("lo"), F.greatest("e.p", "e.q").alias("hi")).join(whole, [by, "lo", "hi"]).select(by, "id", "polyline")
+    one = found.where("success and size(path) = 0").select(by, "id").join(at.select(by, "id", F.col("s.u").alias("u"), F.col("s.v").alias("v"), F.col("s.t").alias("st"), F.col("g.t").alias("gt")), [by, "id"]).join(lines, [by, "u", "v"])
+    one = one.select(by, "id", geom.sliced(F.col("polyline"), F.least("st", "gt") * F.col("length"), F.greatest("st", "gt") * F.col("length")).alias("polyline"))
+    corridor = inner.unionByName(one).select(by, "id", F.explode("polyline").alias("p")).join(pairs, [by, "id"]).groupBy(by, "id").agg(away)
+    rows = at.join(found.select(by, "id", "success", F.col("length").alias("route_length")), [by, "id"], "left").join(corridor, [by, "id"], "left")
+    rows = rows.join(edges.select(by).distinct().withColumn("lines", F.lit(True)), by, "left").withColumn("corridor", F.when(F.col("success"), F.coalesce("corridor", F.lit(0.0))))
+    straight = geom.distance("sx", "sy", "gx", "gy")
+    fits = (F.round(F.col("route_length") - straight * detour - 2 * tolerance, 9) <= 0) & (F.round("corridor", 9) <= 2 * tolerance)
+    far = F.col("s").isNull() | F.col("g").isNull()
+    reason = F.when(F.col("lines").isNull(), "complete reviewed GT is empty").when(far, "endpoint far from GT").when(~sure, "endpoint uncertain").when(~F.col("success"), "GT components disconnected").when(~fits, "GT route detours or corridor uncertain")
+    label = F.when(reason.isNull(), 1).when(F.col("lines").isNull() | far | (sure & ~F.coalesce("success", F.lit(False))), 0).otherwise(-1)
+    return rows.select(by, "id", label.alias("label"), reason.alias("reason"), "route_length", "corridor")

@@ -212,3 +212,18 @@ def _(t):
     order, customer = F.col("o_orderkey"), F.col("o_custkey")
     rows = t.orders.select(F.lit(0).alias("scene_id"), order.alias("id"), (customer % 10).alias("a"), (order % 7).alias("b"), (customer % 3 * 1.04).alias("ax"), (order % 2 * 0.3).alias("ay"), (order % 5 / 5).alias("bx"), (customer % 2 * 2.0).alias("by"), F.col("o_totalprice").alias("score"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("proposed").alias("status"))
     return corridor_budget(rows.where("a <> b")).select("id", "a", "b", "status", "deduplicated", "budget_excluded")
+
+
+@query("g14_reject_by_axis", W + """, c AS (SELECT bo.scene_id, bo.id AS source, bo.other AS target, q.x - p.x AS dx, q.y - p.y AS dy, (bo.id * 37 % 180) - 90 AS axis, (bo.id % 10) / 10 AS anisotropy, (bo.other % 8) / 8 AS support, (bo.other % 5) / 10 AS gap, (bo.other % 9) / 9 AS score FROM bo JOIN pts p ON p.scene_id = bo.scene_id AND p.id = bo.id JOIN pts q ON q.scene_id = bo.scene_id AND q.id = bo.other),
+a AS (SELECT *, round(sqrt(dx*dx + dy*dy), 9) AS distance, round(degrees(acos(least(1, abs(dx * cos(radians(axis)) + dy * sin(radians(axis))) / sqrt(dx*dx + dy*dy)))), 9) AS angle, CASE WHEN round(dx * cos(radians(axis)) + dy * sin(radians(axis)), 9) >= 0 THEN 'forward' ELSE 'backward' END AS side FROM c),
+r AS (SELECT *, min(distance) FILTER (angle <= 20) OVER (PARTITION BY scene_id, source, side) AS near, CASE WHEN angle <= 20 THEN row_number() OVER (PARTITION BY scene_id, source, side, angle <= 20 ORDER BY angle, distance, support DESC, score DESC, target) END AS k FROM a)
+SELECT scene_id, source, target, side, round(angle, 6) AS angle, CASE WHEN anisotropy < 0.7 THEN NULL WHEN angle > 20 AND distance >= near THEN 'off_axis_redundant'
+WHEN k > 1 AND EXISTS (SELECT 1 FROM r o WHERE o.scene_id = r.scene_id AND o.source = r.source AND o.side = r.side AND o.k IS NOT NULL AND o.distance < 0.8 * r.distance AND abs(o.angle - r.angle) <= 10 AND o.gap <= r.gap + 0.15) THEN 'same_branch_farther_neighbor' END AS c1_reason FROM r""")
+def _(t):
+    from ..operators.graph import both_ends
+
+    c = both_ends(edges(t).select("scene_id", "u", "v"))
+    at = lambda e, i: nodes(t).select("scene_id", F.col("id").alias(e), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    c = c.withColumnsRenamed({"id": "source", "other": "target"}).join(at("source", 0), ["scene_id", "source"]).join(at("target", 1), ["scene_id", "target"])
+    c = c.withColumns({"axis": (F.col("source") * 37 % 180 - 90).cast("double"), "anisotropy": F.col("source") % 10 / 10, "support": F.col("target") % 8 / 8, "gap": F.col("target") % 5 / 10, "score": F.col("target") % 9 / 9})
+    return rounded(op.reject_by_axis(c).select("scene_id", "source", "target", "side", "angle", "c1_reason"))

@@ -184,3 +184,17 @@ def _(t):
 @query("l6_union_benchmarks", "SELECT s_suppkey AS id, s_acctbal AS value, NULL AS device FROM supplier UNION ALL SELECT c_custkey, c_acctbal, 'cuda' FROM customer")
 def _(t):
     return op.union_benchmarks(t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value")), t.customer.select("c_custkey", "c_acctbal"), {"c_custkey": "id", "c_acctbal": "value"}, {"device": "cuda"})
+
+
+@query("i2_gap_labels")
+def _(t):
+    # all facing pairs of endpoints against lines between all points up to 120 apart
+    from ..functions.spatial import near_points
+    from ..operators.proposals import gap_candidates
+
+    n = nodes(t)
+    truth = near_points(n, n, 120.0).where("id_a < id_b").select("scene_id", F.col("id_a").alias("u"), F.col("id_b").alias("v"), F.col("distance").alias("length"))
+    at = lambda e, i: n.select("scene_id", F.col("id").alias(e), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    gaps = gap_candidates(n, edges(t)).select("scene_id", "a", "b").join(at("a", 0), ["scene_id", "a"]).join(at("b", 1), ["scene_id", "b"])
+    out = op.label_gaps(gaps.withColumn("id", F.struct("a", "b")), n, truth)
+    return rounded(out.select("scene_id", "id.a", "id.b", "label", "reason", "route_length", "corridor"))
