@@ -77,4 +77,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op11_quality": op11_quality, "op13_alignment": op13_alignment, "op12_spelling_variants": op12_spelling_variants, "op10_toxicity": op10_toxicity, "op6_substring_dedup": op6_substring_dedup, "op9_jaccard_join": op9_jaccard_join, "op3_token_files": op3_token_files, "op7_token_counts": op7_token_counts, "op5_mixing": op5_mixing, "op8_line_dedup": op8_line_dedup, "op4_fingerprints": op4_fingerprints, "op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup}
-ORACLE_SQL = {"op5_mixing": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL = {"op12_spelling_variants": spelling.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL, "op2_exact_dedup": exact_dedup.ORACLE_SQL}

@@ -251,3 +251,20 @@ def variants(counts: DataFrame) -> DataFrame:
 def spelling_variants(docs: DataFrame, text: str = "text") -> DataFrame:
     """variants() of the words of whole documents; a null text has none."""
     return variants(word_counts(docs, text))
+
+
+#: tb: the crc32 of each byte, by its rule; bt: the bytes of `<doc_id>:<run>`; dl: words without one letter each.
+ORACLE_SQL = """
+WITH RECURSIVE tb AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(0, 256) r(i)),
+rn AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+bt AS (SELECT run, flatten(list_transform(string_split(d || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192::BIGINT + (unicode(x) >> 6), 128::BIGINT + (unicode(x) & 63)] END)) AS b FROM rn),
+hs AS (SELECT run, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM bt, tb),
+dm AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hs),
+wd AS (SELECT word, count(*) AS n FROM dm WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+dl AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS key FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM wd)),
+lk AS (SELECT a.word, b.word AS near FROM dl a JOIN dl b ON a.i = b.i AND a.key = b.key AND a.word <> b.word UNION SELECT dl.word, wd.word FROM dl JOIN wd ON wd.word = dl.key UNION SELECT wd.word, dl.word FROM dl JOIN wd ON wd.word = dl.key),
+bs AS (SELECT lk.word, count(*) AS n_near, arg_min(near, (-b.n, near)) AS best, max(b.n) AS best_n FROM lk JOIN wd b ON b.word = near GROUP BY 1),
+fm AS (SELECT wd.word, wd.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * wd.n THEN best END AS form, CASE WHEN best_n >= 10 * wd.n THEN best_n END AS form_n FROM wd LEFT JOIN bs USING (word)),
+ch AS (SELECT word, word AS root, 0 AS k FROM fm UNION ALL SELECT ch.word, fm.form, k + 1 FROM ch JOIN fm ON fm.word = ch.root WHERE fm.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM fm JOIN (SELECT word, arg_max(root, k) AS root FROM ch GROUP BY 1) USING (word)
+"""

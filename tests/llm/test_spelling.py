@@ -107,6 +107,16 @@ def test_whole_table(spark):
     assert rows_of(sp.spelling_variants(docs)) == expected(words_of([(r.doc_id, r.text) for r in docs.collect()]))
 
 
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = {r[0]: tuple(r[1:]) for r in c.sql(f"SELECT word, form, root, n, n_near, form_n FROM ({sp.ORACLE_SQL})").fetchall()}
+    assert rows_of(sp.spelling_variants(spark.read.parquet(path))) == want
+
+
 def test_tiles_meet_each_pair_once():
     first, end = np.array([0, 3, 4, 10]), np.array([3, 4, 10, 1010])
     seen = collections.Counter((int(a), int(b)) for x, y in sp.tiles(first, end) for a, b in zip(x, y))
