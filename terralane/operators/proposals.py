@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geom
 from ..functions.spatial import near_points, near_segments
-from ..plans.scratch import stored
+from ..plans.scratch import free, stored
 from .graph import SCENE, component_inventory, component_table, components, degrees, with_ends
 
 # Shares of the five sub-scores.
@@ -120,6 +120,32 @@ def budget_both(rows: DataFrame, n: int, order: Sequence[Column]) -> DataFrame:
     return taken.unionByName(rows.where("status = 'rejected'"))
 
 
+def endpoint_budget(rows: DataFrame, n: int = 5, open_status: str = "proposed") -> DataFrame:
+    """Rows (scene, kind, a, b, score, status, ...) with budget_excluded: what one pass by score has no room for.
+
+    Best score first, then by kind, a, b and the other columns in order, each endpoint has room for n rows of status open_status, of all kinds together: a counts for every kind, b for endpoint_endpoint
+    only. Rows of another status are never excluded and take no room. All rows stay; rows that agree in all columns share one decision.
+
+    Each round takes the rows that are among the first of their ends as far as these have room, and excludes those with a full end; only rows of one endpoint are ranked
+    together.
+    """
+    rest = [c for c in rows.columns if c not in (SCENE, "kind", "a", "b", "score")]
+    key = F.struct((-F.round("score", 9)).alias("s"), "kind", "a", "b", *rest).alias("__key")
+    every = stored(rows.withColumn("__key", key), "budget")
+    both = F.when(F.col("kind") == "endpoint_endpoint", F.array_distinct(F.array("a", "b"))).otherwise(F.array("a"))
+    ends = stored(every.where(F.col("status") == open_status).select(SCENE, "__key", F.explode(both).alias("end"), F.lit(False).alias("taken")).distinct(), "ends")
+    while not ends.where("not taken").isEmpty():
+        room = n - F.count_if("taken").over(Window.partitionBy(SCENE, "end"))
+        rank = F.row_number().over(Window.partitionBy(SCENE, "end", "taken").orderBy("__key"))
+        row = Window.partitionBy(SCENE, "__key")
+        step = ends.withColumn("room", room).withColumn("rank", rank).withColumn("full", F.max(F.col("room") <= 0).over(row)).withColumn("first", F.min(F.col("rank") <= F.col("room")).over(row))
+        before, ends = ends, stored(step.where("taken or not full").select(SCENE, "__key", "end", (F.col("taken") | F.col("first")).alias("taken")), "ends")
+        free(before)
+    taken = ends.select(SCENE, F.col("__key").alias("k"), F.lit(True).alias("__t")).distinct()
+    out = every.join(taken, (every[SCENE] == taken[SCENE]) & every["__key"].eqNullSafe(taken["k"]), "left")
+    return out.select(*(every[c] for c in rows.columns), ((F.col("status") == open_status) & F.col("__t").isNull()).alias("budget_excluded"))
+
+
 def component_pairs(nodes: DataFrame, edges: DataFrame, radius: float, k: int) -> DataFrame:
     """(scene, a, b, distance): components whose boxes lie within the radius, each with its k nearest ones, as unordered pairs.
 

@@ -153,6 +153,14 @@ def _(t):
     return rounded(pr.budget_both(scored(t), 5, [F.desc(F.round("score", 9)), F.col("a"), F.col("b")]).select("scene_id", "a", "b", "score", "status"))
 
 
+@query("h14_endpoint_budget")
+def _(t):
+    """Endpoint pairs and endpoint-edge proposals share each endpoint's budget."""
+    kinds = pr.propose_edges(nodes(t), edges(t), 80.0).select("scene_id", "kind", "a", F.coalesce("b", "u").alias("b"), F.col("v").alias("far"), "distance")
+    rows = kinds.withColumn("score", 1 - F.col("distance") / 80).withColumn("status", F.when(F.col("distance") > 75, "rejected_by_hard_gate").otherwise("proposed"))
+    return rounded(pr.endpoint_budget(rows.drop("distance"), 2))
+
+
 def scored(t):
     e = edges(t).select("scene_id", F.col("u").alias("a"), F.col("v").alias("b"), "length")
     e = e.withColumn("score", pr.heuristic_score({"distance": 1 - F.col("length") / 60, "angle": (F.col("a") % 10) / 10, "probability": (F.col("b") % 7) / 7, "graph": F.lit(0.5), "shape": F.lit(1.0)}))

@@ -131,6 +131,26 @@ def test_budget_counts_both_ends(spark):
     assert {(r.scene_id, r.a, r.b) for r in proposals.budget_both(df, 2, [F.desc("score"), F.col("a"), F.col("b")]).collect()} == want
 
 
+def test_endpoint_budget_marks_what_has_no_room(spark):
+    from terralane.operators import proposals
+
+    rng = random.Random(8)
+    rows = [("s", rng.choice(("endpoint_endpoint", "endpoint_edge", "endpoint_junction")), a, b, rng.randrange(5) / 4, rng.choice(("proposed", "proposed", "proposed", "rejected_by_hard_gate"))) for a, b in itertools.combinations(range(9), 2)]
+    rows += [("t", "endpoint_edge", 1, b, 0.5, "proposed") for b in range(6)] + [("t", "endpoint_endpoint", 1, 1, 0.9, "proposed")]
+    room, want = {}, {}
+    for s, kind, a, b, _, status in sorted(rows, key=lambda r: (-r[4], r[1], r[2], r[3])):
+        ends = {a, b} if kind == "endpoint_endpoint" else {a}
+        out = status == "proposed" and any(room.get((s, x), 0) >= 2 for x in ends)
+        want[s, kind, a, b] = out
+        if status == "proposed" and not out:
+            for x in ends:
+                room[s, x] = room.get((s, x), 0) + 1
+    df = spark.createDataFrame(rows, "scene_id string, kind string, a long, b long, score double, status string")
+    got = {(r.scene_id, r.kind, r.a, r.b): r.budget_excluded for r in proposals.endpoint_budget(df, 2).collect()}
+    assert got == want and 5 < sum(want.values()) < 35
+    assert proposals.endpoint_budget(df.limit(0)).collect() == []
+
+
 def test_curved_edge_and_runs(spark):
     poly = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (5, 5), (10, 0))))
     r = spark.range(1).select(geom.arc_length(poly).alias("l"), geom.project(10.0, 3.0, poly).alias("p"), geom.longest_run(F.array(*(F.lit(v) for v in (True, True, False, True)))).alias("run"), geom.axis_count(F.array(*(F.lit(float(a)) for a in (0, 178, 90, 270, 45))), 15.0).alias("axes")).first()
