@@ -14,17 +14,18 @@ from .graph import SCENE, both_ends, component_table, components, degrees, line_
 
 
 def contract(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Move edge ends from `id` to `to` (scene, id, to); gives the nodes that stay and the edges (scene, u, v, length, polyline).
+    """Move edge ends from `id` to `to` (scene, id, to); gives the nodes that stay and the edges (scene, u, v, length, polyline and the edges' other columns).
 
     Loops go, the longest of parallel edges stays (then the one with the least old ends). The ends of a polyline, a straight one where edges have none, are
     put on the new nodes; the length is measured anew.
     """
     own = mapping.where("id <> to")
+    rest = [c for c in edges.columns if c not in (SCENE, "u", "v", "length", "polyline")]
     kept = nodes.join(own.select(SCENE, "id"), [SCENE, "id"], "left_anti")
     e = edges
     if "polyline" not in e.columns:
         point = lambda i: F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"))
-        e = with_ends(nodes, e.select(SCENE, "u", "v")).select(SCENE, "u", "v", F.array(point(0), point(1)).alias("polyline"))
+        e = with_ends(nodes, e.select(SCENE, "u", "v", *rest)).select(SCENE, "u", "v", *rest, F.array(point(0), point(1)).alias("polyline"))
     for c in "uv":
         to = own.select(SCENE, F.col("id").alias(c), F.col("to").alias(f"{c}_to"))
         at = kept.select(SCENE, F.col("id").alias(f"{c}_to"), F.struct("x", "y").alias(f"{c}_at"))
@@ -33,8 +34,8 @@ def contract(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[Da
     e = e.where("u_to <> v_to").withColumn("polyline", F.concat(F.array("u_at"), inner, F.array("v_at")))
     e = e.withColumn("polyline", F.when(F.col("u_to") <= F.col("v_to"), F.col("polyline")).otherwise(F.reverse("polyline"))).withColumn("length", geom.arc_length(F.col("polyline")))
     ends = [F.least("u_to", "v_to").alias("a"), F.greatest("u_to", "v_to").alias("b")]
-    best = e.select(SCENE, *ends, F.struct(F.round("length", 9).alias("r"), -F.col("u"), -F.col("v"), "length", "polyline").alias("e")).groupBy(SCENE, "a", "b").agg(F.max("e").alias("e"))
-    return kept, best.select(SCENE, F.col("a").alias("u"), F.col("b").alias("v"), "e.length", "e.polyline")
+    best = e.select(SCENE, *ends, F.struct(F.round("length", 9).alias("r"), -F.col("u"), -F.col("v"), "length", "polyline", *rest).alias("e")).groupBy(SCENE, "a", "b").agg(F.max("e").alias("e"))
+    return kept, best.select(SCENE, F.col("a").alias("u"), F.col("b").alias("v"), "e.length", "e.polyline", *(f"e.{c}" for c in rest))
 
 
 def merge_nodes(nodes: DataFrame, edges: DataFrame, eps: float = 0.01) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import geom
 from ..functions.spatial import near_segments
 from ..plans.scratch import free, stored
-from .graph import SCENE, both_ends, with_ends
+from .graph import SCENE, both_ends, component_table, components, with_ends
 
 SAME_NODE = 1e-6
 
@@ -91,11 +91,12 @@ def routes(attached: DataFrame, edges: DataFrame, cost: str = "length") -> DataF
 
 
 def walked_back(goals: DataFrame, known: DataFrame) -> DataFrame:
-    """(scene, id, path) from the nodes (scene, id, node) back over `parent` to a node without one, in order from there.
+    """(scene, id, path) from the nodes (scene, id, node) back over `parent` to a node without one, in order from there; goals may have more columns, which tell apart several of one id.
 
     Jumps over 1, 2, 4, ... parents are made by joining the jumps before with themselves; then each jump, longest first, doubles the
     places that are known, so both take a number of joins logarithmic in the longest path.
     """
+    by = [c for c in goals.columns if c != "node"]
     own = known.join(goals.select(SCENE, "id").distinct(), [SCENE, "id"], "left_semi")
     jumps = [stored(own.where("parent is not null").select(SCENE, "id", "node", F.col("parent").alias("to")), "jumps")]
     while True:
@@ -104,13 +105,80 @@ def walked_back(goals: DataFrame, known: DataFrame) -> DataFrame:
         if longer.isEmpty():
             break
         jumps.append(longer)
-    places = stored(goals.select(SCENE, "id", "node", F.lit(0).cast("long").alias("back")), "places")
+    places = stored(goals.select(*by, "node", F.lit(0).cast("long").alias("back")), "places")
     for k in reversed(range(len(jumps))):
-        on = places.join(jumps[k], [SCENE, "id", "node"]).select(SCENE, "id", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        on = places.join(jumps[k], [SCENE, "id", "node"]).select(*by, F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         before, places = places, stored(places.unionByName(on), "places")
         free(before, jumps[k])
     steps = F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("k"), "node")))
-    return places.groupBy(SCENE, "id").agg(F.transform(steps, lambda s: s["node"]).alias("path"))
+    return places.groupBy(*by).agg(F.transform(steps, lambda s: s["node"]).alias("path"))
+
+
+def distances(starts: DataFrame, edges: DataFrame, cost: str = "length") -> DataFrame:
+    """(scene, id, node, d, parent): the least cost from each start (scene, id, node) to every node it reaches, and the node before; of ways that cost the same to 1e-12 the one found first, then the least parent.
+
+    A round relaxes the edges of the nodes that the round before has improved, so rounds follow the edges of the longest way.
+    """
+    both = stored(both_ends(edges.select(SCENE, "u", "v", F.col(cost).alias("w"))).withColumnRenamed("id", "node"), "both")
+    known = stored(starts.select(SCENE, "id", "node", F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("parent"), F.lit(True).alias("better")), "known")
+    while not known.where("better").isEmpty():
+        step = known.where("better").join(both, [SCENE, "node"]).select(SCENE, "id", F.col("other").alias("node"), F.struct((F.col("d") + F.col("w")).alias("n"), F.col("node").alias("back")).alias("to"))
+        step = step.groupBy(SCENE, "id", "node").agg(F.min("to").alias("to"))
+        better = F.coalesce(F.col("to.n") < F.col("d") - 1e-12, F.col("d").isNull())
+        rows = known.drop("better").join(step, [SCENE, "id", "node"], "full_outer")
+        rows = rows.select(SCENE, "id", "node", F.when(better, F.col("to.n")).otherwise(F.col("d")).alias("d"), F.when(better, F.col("to.back")).otherwise(F.col("parent")).alias("parent"), better.alias("better"))
+        before, known = known, stored(rows, "known")
+        free(before)
+    free(both)
+    return known.drop("better")
+
+
+def anchors(nodes: DataFrame) -> DataFrame:
+    """(scene, id, node): up to 16 nodes of a scene, its extremes in x, y, x + y and x - y and the nodes closest to the corners and side middles of its box; of equal ones the least id."""
+    x, y = F.col("x"), F.col("y")
+    tip = lambda c: F.min(F.struct(c.alias("c"), "id"))["id"]
+    ends = nodes.groupBy(SCENE).agg(F.array(*(tip(s * c) for c in (x, y, x + y, x - y) for s in (1, -1))).alias("a"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    to = lambda i, j: F.round(geom.distance("x", "y", F.col("x0") + i / 2 * (F.col("x1") - F.col("x0")), F.col("y0") + j / 2 * (F.col("y1") - F.col("y0"))), 9)
+    rim = [(i, j) for j in range(3) for i in range(3) if (i, j) != (1, 1)]
+    near = nodes.join(ends.drop("a"), SCENE).groupBy(SCENE).agg(F.array(*(tip(to(i, j)) for i, j in rim)).alias("a"))
+    all_ = ends.select(SCENE, "a").unionByName(near)
+    return all_.select(SCENE, F.explode("a").alias("id")).distinct().withColumn("node", F.col("id"))
+
+
+def diverse_routes(nodes: DataFrame, edges: DataFrame, count: int = 6, cap: float = 0.75, goals: int = 12) -> DataFrame:
+    """(scene, rank, start, goal, length, direct, path): up to `count` long routes of each scene's main component that differ.
+
+    Candidates are the shortest ways from each anchor to the `goals` nodes farthest from it by way (of equal ones the least id; not the anchor itself), ordered by straight
+    distance, then length, longest first, then least start and goal. One pass takes a candidate if neither of its ends is an end of a taken one and no taken
+    one shares more than `cap` of the edges of the shorter of both. Each of its `count` rounds takes one route of every scene and strikes those that it rules out,
+    so no two candidates are compared otherwise. Fewer rows where a scene has no more; an empty graph has none.
+    """
+    main = component_table(nodes, edges).where("is_main").select(SCENE, "component")
+    own = stored(nodes.join(components(nodes, edges), [SCENE, "id"]).join(main, [SCENE, "component"]).select(SCENE, "id", "x", "y"), "main")
+    inside = edges.join(own.select(SCENE, F.col("id").alias("u")), [SCENE, "u"], "left_semi")
+    known = stored(distances(anchors(own), inside), "distances")
+    far = known.where("id <> node").withColumn("k", F.row_number().over(Window.partitionBy(SCENE, "id").orderBy(F.round("d", 9).desc(), "node"))).where(F.col("k") <= goals)
+    far = far.select(SCENE, "id", F.col("node").alias("goal"), "node", "d")
+    at = lambda c, i: own.select(SCENE, F.col("id").alias(c), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    rows = far.drop("node").join(walked_back(far.drop("d"), known), [SCENE, "id", "goal"]).withColumnsRenamed({"id": "start", "d": "length"}).join(at("start", 0), [SCENE, "start"]).join(at("goal", 1), [SCENE, "goal"])
+    order = F.struct((-F.round("direct", 9)).alias("a"), (-F.round("length", 9)).alias("b"), "start", "goal")
+    rows = rows.withColumn("direct", geom.distance("x0", "y0", "x1", "y1")).withColumn("key", order).select(SCENE, "key", "start", "goal", "length", "direct", "path")
+    state, taken = stored(rows, "candidates"), None
+    step = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.least(F.get("path", i - 1), F.get("path", i)).alias("u"), F.greatest(F.get("path", i - 1), F.get("path", i)).alias("v")))
+    for rank in range(1, count + 1):
+        first = state.groupBy(SCENE).agg(F.min("key").alias("key"))
+        now = stored(state.join(first, [SCENE, "key"], "left_semi").withColumn("rank", F.lit(rank)), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        if rank == count or now.isEmpty():
+            break
+        ends = now.select(SCENE, F.explode(F.array("start", "goal")).alias("end"))
+        left = state.join(ends.withColumnRenamed("end", "start"), [SCENE, "start"], "left_anti").join(ends.withColumnRenamed("end", "goal"), [SCENE, "goal"], "left_anti")
+        shared = left.select(SCENE, "key", F.explode(step).alias("e")).join(now.select(SCENE, F.explode(step).alias("e")), [SCENE, "e"]).groupBy(SCENE, "key").agg(F.count(F.lit(1)).alias("shared"))
+        sizes = now.select(SCENE, (F.size("path") - 1).alias("steps"))
+        over = left.join(shared, [SCENE, "key"]).join(sizes, SCENE).where(F.col("shared") / F.least("steps", F.size("path") - 1) > cap).select(SCENE, "key")
+        before, state = state, stored(left.join(over, [SCENE, "key"], "left_anti").select(rows.columns), "candidates")
+        free(before)
+    return taken.select(SCENE, "rank", "start", "goal", "length", "direct", "path")
 
 
 def route_summary(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -190,3 +190,9 @@ d AS (SELECT a.scene_id, a.id AS a, b.id AS b, sqrt((a.x-b.x)**2 + (a.y-b.y)**2)
 SELECT scene_id, a, b, round(distance, 5) AS distance, round(turn_a, 5) AS turn_a, round(turn_b, 5) AS turn_b FROM d WHERE distance BETWEEN 20 AND 120 AND turn_a <= 45 AND turn_b <= 45""")
 def _(t):
     return rounded(pr.gap_candidates(nodes(t), edges(t)), 5)
+
+
+@query("j6_diverse_routes")
+def _(t):
+    out = op.diverse_routes(nodes(t), edges(t))
+    return rounded(out.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ",")))
