@@ -157,17 +157,20 @@ def check_population(df: DataFrame, by: str, expected: DataFrame, forbidden: str
 def spatial_leakage(regions: DataFrame, buffer: float = 512.0) -> DataFrame:
     """Pairs of regions of different splits in one frame whose boxes are nearer than the buffer (512 at least).
 
-    Boxes, widened by the buffer, are dealt to square cells, so only boxes that share a cell meet.
+    Boxes, widened by half the buffer, are dealt to square cells, so only boxes that share a cell meet; a pair counts in its first common cell,
+    so pairs are not shuffled.
     """
-    from ..functions.spatial import box_cells
+    from ..functions.spatial import box_cells, first_cell
 
     buffer = max(buffer, 512.0)
-    r = regions.select("frame", "id", "split", "x0", "y0", "x1", "y1").withColumn("cell", box_cells("x0", "y0", "x1", "y1", buffer * 2, buffer))
+    side, margin = buffer * 2, buffer / 2 + 1
+    r = regions.select("frame", "id", "split", "x0", "y0", "x1", "y1").distinct().withColumn("cell", box_cells("x0", "y0", "x1", "y1", side, margin))
     a, b = r.alias("a"), r.alias("b")
-    near = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.split") != F.col("b.split")))
+    once = F.col("a.cell") == first_cell({"x": ("a.x0", "b.x0"), "y": ("a.y0", "b.y0")}, side, margin)
+    near = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.split") != F.col("b.split")) & once)
     gap = lambda lo, hi: F.greatest(F.col(f"a.{lo}") - F.col(f"b.{hi}"), F.col(f"b.{lo}") - F.col(f"a.{hi}"), F.lit(0.0))
     d = F.sqrt(gap("x0", "x1") * gap("x0", "x1") + gap("y0", "y1") * gap("y0", "y1"))
-    return near.select(F.col("a.frame").alias("frame"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("distance")).where(F.col("distance") < buffer).distinct()
+    return near.select(F.col("a.frame").alias("frame"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), d.alias("distance")).where(F.col("distance") < buffer)
 
 
 def audit_hashes(manifest: DataFrame, files: DataFrame, path: str = "path", sha: str = "sha256") -> DataFrame:
