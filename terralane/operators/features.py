@@ -148,7 +148,8 @@ def best_tile(points: DataFrame, tiles: DataFrame, tile: int, by: str = "scene_i
     t = tiles.select(by, "tx", "ty").withColumn("x1", F.col("tx") + tile - 1).withColumn("y1", F.col("ty") + tile - 1).withColumn("c", box_cells("tx", "ty", "x1", "y1", tile))
     p = points.select(by, "id", "x", "y", F.struct(cell("x", tile).alias("x"), cell("y", tile).alias("y")).alias("c"))
     m = F.least(F.col("x") - F.col("tx"), F.col("tx") + tile - F.col("x"), F.col("y") - F.col("ty"), F.col("ty") + tile - F.col("y"))
-    rows = p.join(t, [by, "c"]).withColumn("margin", m).where("margin >= 0")
+    # tiles are many more than the images that Spark estimates them by: never broadcast on that estimate
+    rows = p.join(t.hint("merge"), [by, "c"]).withColumn("margin", m).where("margin >= 0")
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(by, "id").orderBy(F.desc("margin"), "ty", "tx"))).where("k = 1").select(by, "id", "tx", "ty", "margin")
 
 
