@@ -93,8 +93,8 @@ def _(t):
 @query("e10_sliced_length", f"WITH {SG} SELECT id, round(length / 2, 4) AS length FROM le WHERE id IN (SELECT id FROM st)")
 def _(t):
     p = polylines(t).where(F.size("poly") > 1)
-    full = geom.arc_length(F.col("poly"))
-    return rounded(p.select("id", geom.arc_length(geom.sliced(F.col("poly"), full * 0.25, full * 0.75)).alias("length")), 4)
+    p = p.withColumn("full", geom.arc_length(F.col("poly"))).withColumn("part", geom.sliced(F.col("poly"), F.col("full") * 0.25, F.col("full") * 0.75))
+    return rounded(p.select("id", geom.arc_length(F.col("part")).alias("length")), 4)
 
 
 @query("e12_bilinear", f"""WITH {CELLS}, p AS (SELECT s_suppkey AS id, s_nationkey * 2.3 + 1 AS x, s_suppkey % 60 + 0.25 AS y FROM supplier), q AS (SELECT id, x, y, CAST(floor(x) AS BIGINT) + i AS cx, CAST(floor(y) AS BIGINT) + j AS cy, (CASE WHEN i = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) * (CASE WHEN j = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END) AS w FROM p, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
