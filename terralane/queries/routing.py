@@ -150,7 +150,7 @@ def _(t):
 
 @query("h14_budget_both")
 def _(t):
-    return rounded(pr.budget_both(scored(t), 5, [F.desc(F.round("score", 9)), F.col("a"), F.col("b")]).select("scene_id", "a", "b", "score", "status"))
+    return rounded(pr.budget_both(scored(t), 5, [F.desc(F.round("score", 9)), F.col("a"), F.col("b")], lead=-F.round("score", 9)).select("scene_id", "a", "b", "score", "status"))
 
 
 @query("h14_endpoint_budget")
