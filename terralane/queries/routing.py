@@ -55,12 +55,7 @@ def _(t):
 
 @query("j1_project_all_points", PAIRS + " SELECT scene_id, id, e, u, v, round(t, 6) AS t, round(distance, 6) AS distance FROM pj")
 def _(t):
-    out = None
-    for e in "sg":
-        p = pairs(t).select("scene_id", "id", F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y"))
-        rows = op.project_points(p, nodes(t), edges(t), 40.0).withColumn("e", F.lit(e))
-        out = rows if out is None else out.unionByName(rows)
-    return rounded(out)
+    return rounded(op.both_projections(pairs(t), nodes(t), edges(t), 40.0))
 
 
 @query("j2_edge_cost", W + " SELECT scene_id, u, v, round(length * (1 + 2 * (1 - CASE WHEN u % 4 = 0 THEN 1 ELSE (v % 10) / 10 END)), 6) AS cost FROM g")
